@@ -58,8 +58,9 @@ def _quotas(stats: DataFrame, targets: DataFrame, total_tokens: int | None) -> D
         pdf["target_share"] = pdf.target_share / pdf.target_share.sum()
         return pdf
 
+    joined = joined.withColumn("all_targets", F.lit(1))  # one group, of as many rows as targets
     schema = StructType([*joined.schema.fields, StructField("quota", DoubleType())])
-    one = joined.repartition(1).groupBy(F.lit(1)).applyInPandas(fill, schema)  # as many rows as targets
+    one = joined.groupBy("all_targets").applyInPandas(fill, schema).drop("all_targets")
     ratio = F.when(F.col("tokens") > 0, F.col("quota") / F.col("tokens")).otherwise(0.0)
     return one.withColumn("whole", F.floor(ratio + 1e-9)).withColumn("rest", F.greatest(F.lit(0.0), F.col("quota") - F.col("whole") * F.col("tokens")))
 

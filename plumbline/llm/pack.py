@@ -59,7 +59,7 @@ def assign(sizes: list[int], capacity: int, scale: float = ATTENTION_SCALE) -> l
 
 
 def pack(docs: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS, folder: str = TOKENIZERS) -> DataFrame:
-    """limit_name, capacity_tokens, bin_group, bin_no, doc_id, part_no, token_start, n_tokens, parts."""
+    """limit_name, capacity_tokens, container, doc_id, part_no, parts, token_start, n_tokens."""
     counted = with_token_counts(docs.where("doc_id is not null and text is not null and text <> ''"), ["doc_id"], folder=folder)
     counted = counted.groupBy("doc_id").agg(F.max("n_tokens").alias("doc_tokens")).where("doc_tokens > 0")
     caps = limits.where("limit_name is not null and capacity_tokens >= 1").groupBy("limit_name").agg(F.max("capacity_tokens").cast("long").alias("capacity_tokens"))
@@ -77,7 +77,8 @@ def pack(docs: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS, fol
     rows = docs.select("doc_id").where("doc_id is not null").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group_items)).cast("long").alias("groups"))
     items = items.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", F.lit(6)), rows.scalar()).cast("int"))
     columns = ["limit_name", "capacity_tokens", "bin_group", "doc_id", "part_no", "parts", "token_start", "n_tokens"]
-    full = items.where("n_tokens = capacity_tokens").select(*columns, F.lit(None).cast("long").alias("bin_no"))
+    shown = ["limit_name", "capacity_tokens", "container", "doc_id", "part_no", "parts", "token_start", "n_tokens"]
+    full = items.where("n_tokens = capacity_tokens").withColumn("container", F.concat_ws("/", "limit_name", F.lit("full"), "doc_id", "part_no"))
     rest = items.where("n_tokens < capacity_tokens").select(*columns)
     schema = StructType([*rest.schema.fields, StructField("bin_no", LongType())])
 
@@ -86,18 +87,14 @@ def pack(docs: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS, fol
         return pdf.assign(bin_no=assign(pdf.n_tokens.tolist(), int(pdf.capacity_tokens.iloc[0])))
 
     packed = rest.groupBy("limit_name", "capacity_tokens", "bin_group").applyInPandas(fill, schema)
-    return packed.unionByName(full)
+    return packed.withColumn("container", F.concat_ws("/", "limit_name", "bin_group", "bin_no")).select(shown).unionByName(full.select(shown))
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """Per limit: sequences used, the least that could hold the tokens, and the share of capacity filled.
-
-    A full piece (null bin_no) is a sequence of its own.
-    """
-    bins = packed.groupBy("limit_name", "capacity_tokens", "bin_group", "bin_no").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("items"))
-    used = F.sum(F.when(F.col("bin_no").isNull(), F.col("items")).otherwise(F.lit(1)))
-    return bins.groupBy("limit_name", "capacity_tokens").agg(used.alias("bins"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens")).select(
+    """Per limit: sequences used, the least that could hold the tokens, and the share of capacity filled."""
+    bins = packed.groupBy("limit_name", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("items"))
+    return bins.groupBy("limit_name", "capacity_tokens").agg(F.count("*").alias("bins"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens")).select(
         "limit_name", "capacity_tokens", "bins", "items", "tokens",
         F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"),
         F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6).alias("fill"),
-    )
+    )
