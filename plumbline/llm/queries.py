@@ -42,6 +42,25 @@ SELECT DISTINCT item_kind, item_id FROM items LEFT JOIN chunker_settings USING (
 WHERE strlen(text) > 4 * coalesce(chunk_size, 256)"""
 
 
+# 2. Nearest vectors ---------------------------------------------------------------------------------------------
+
+
+@query
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar vectors of the same index for every usable vector."""
+    from plumbline.llm.knn import nearest
+
+    return nearest(table(spark, d, "vectors"), table(spark, d, "index_meta"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of at least 0.85 cosine of which one is among the five nearest of the other."""
+    from plumbline.llm.knn import similar_pairs
+
+    return similar_pairs(p2_nearest(spark, d))
+
+
 # 6. Packing -----------------------------------------------------------------------------------------------------
 
 
