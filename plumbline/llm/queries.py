@@ -97,3 +97,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     from plumbline.llm.mix import mix, share_report
 
     return share_report(*mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+# 8. Spam pages --------------------------------------------------------------------------------------------------
+
+
+@query
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Spam share, mean PMI and share of repeated collocations of every document."""
+    from plumbline.llm.spam import score_pages
+
+    return score_pages(table(spark, d, "documents"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents most of whose words are keyword, link or tag spam."""
+    return p8_scores(spark, d).where("is_spam").select("doc_id")
