@@ -61,6 +61,37 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(p2_nearest(spark, d))
 
 
+# 5. Credentials -------------------------------------------------------------------------------------------------
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.llm.secrets import all_items
+
+    return all_items(table(spark, d, "chunks"), table(spark, d, "code_blocks"))
+
+
+@query
+def p5_credentials(spark: SparkSession, d: str) -> DataFrame:
+    """Every credential with its place in the text and its score."""
+    from plumbline.llm.secrets import find
+
+    return find(_items(spark, d))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The lines on which credentials begin."""
+    return p5_credentials(spark, d).select("item_kind", "item_id", "line_no").distinct()
+
+
+@query
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that hold credentials, with these masked."""
+    from plumbline.llm.secrets import redact
+
+    return redact(_items(spark, d))
+
+
 # 6. Packing -----------------------------------------------------------------------------------------------------
 
 
