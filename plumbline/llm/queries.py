@@ -61,6 +61,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(p2_nearest(spark, d))
 
 
+# 3. Files nobody wrote by hand here -----------------------------------------------------------------------------
+
+
+@query
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """Features, evidence and verdict of every file of program code."""
+    from plumbline.llm.handwritten import judge_files
+
+    return judge_files(table(spark, d, "chunks"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are generated, minified, copied from elsewhere, or data saved as code."""
+    return p3_files(spark, d).where("elsewhere").select("source")
+
+
 # 5. Credentials -------------------------------------------------------------------------------------------------
 
 

@@ -81,7 +81,7 @@ URL = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://")
 
 class Candidate(NamedTuple):
     start: int
-    end: int  # of the value, masked from start to end
+    end: int  # of the value; of a private key start is that of its first marker, end that of its body
     kind: str
     name: str
     value: str
@@ -121,7 +121,7 @@ def candidates(text: str) -> list[Candidate]:
     if "PRIVATE KEY" in text:
         for m in PRIVATE.finditer(text):
             end = PRIVATE_END.search(text, m.end())
-            add(m.start(), end.end() if end else len(text), "private", "private_key", text[m.end() : end.start() if end else len(text)][:4000])
+            add(m.start(), end.start() if end else len(text), "private", "private_key", text[m.end() : end.start() if end else len(text)][:4000])
     if "://" in text:
         for m in USERINFO.finditer(text):
             add(m.start(3), m.end(3), "userinfo", _name_before(text, m.start()), m[3])
@@ -364,7 +364,7 @@ def _scan(items: DataFrame, model: Model, least: float, masked: bool) -> DataFra
                 kept = [(c, s) for c, s in zip(found, scores) if s >= least]
                 if masked and kept:
                     at.append(i)
-                    rows.append((len(kept), mask(text, [(c.start, c.end) for c, _ in kept])))
+                    rows.append((len(kept), mask(text, [(PRIVATE.match(text, c.start).end() if c.kind == "private" else c.start, c.end) for c, _ in kept])))
                 elif not masked:
                     for c, s in kept:
                         at.append(i)
