@@ -78,6 +78,38 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_files(spark, d).where("elsewhere").select("source")
 
 
+# 4. Near-duplicates ---------------------------------------------------------------------------------------------
+
+
+@query
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's class of equal word sets, with the number of its copies and of its links to other classes."""
+    from plumbline.llm.neardup import similar_classes
+
+    return similar_classes(table(spark, d, "chunks"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks whose sets of words have a similarity of at least 0.7."""
+    from plumbline.llm.neardup import similar_chunks
+
+    return similar_chunks(table(spark, d, "chunks"))
+
+
+SQL["p4_found"] = """
+WITH arrivals AS (
+  SELECT chunk_id, arg_max(text, ingested_at) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id),
+w AS (
+  SELECT DISTINCT chunk_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS word FROM arrivals),
+words AS (SELECT chunk_id, word FROM w WHERE length(word) > 1),
+n AS (SELECT chunk_id, count(*) AS n FROM words GROUP BY chunk_id),
+shared AS (
+  SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM words a JOIN words b ON a.word = b.word AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b
+WHERE 10 * k >= 7 * (x.n + y.n - k)"""
+
+
 # 5. Credentials -------------------------------------------------------------------------------------------------
 
 
