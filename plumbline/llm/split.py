@@ -59,7 +59,7 @@ def cut_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
 
     pieces, start = [], 0
     while total - start > limit:
-        least = start + overlap
+        least = max(start + overlap, pieces[-1][1] if pieces else 0)
         cut, kind = 0, "hard"
         for name, ends in levels:
             at = bisect_right(ends, start + limit) - 1
@@ -69,6 +69,9 @@ def cut_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
                 break
         if not cut:
             cut = whole(start + limit)
+            if pieces and cut <= pieces[-1][1]:  # the limit holds nothing but the overlap and a part of a character
+                start = pieces[-1][1]
+                continue
         pieces.append((start, cut, kind))
         back = whole(cut - overlap) if overlap else cut
         # a hard cut may fall short of the limit by a part of a character: then the overlap shrinks by it
