@@ -102,7 +102,7 @@ class Catalog:
 
     def _provider(self, meta: IndexMeta, options: dict | None = None):
         own = {"dimensions": meta.dimensions} if meta.embedding_mode == "hashing" else {"model": meta.embedding_model}
-        return emb.provider(meta.embedding_mode, **own, **(options or {}))
+        return emb.provider(meta.embedding_mode, **{**own, **(options or {})})
 
     def _chunks(self, docs: DataFrame, o: BuildOptions) -> DataFrame:
         return chunk_table(docs, ["source"], "text", "source", o.chunk_size, o.chunk_overlap, o.strategy)

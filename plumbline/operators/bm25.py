@@ -3,8 +3,10 @@
 score(d, q) = Σ over all token occurrences of q with df > 0 of ln((N − df + 0.5)/(df + 0.5) + 1) · tf · (k1 + 1) /
 (tf + k1 · (1 − b + b · dl / avgdl)).
 
-For one query no inverted index is needed: the frequencies of the few query terms are columns computed beside the
-tokens of each row, and the only exchange is the one-row aggregate of N, the lengths and the document frequencies.
+For one query no inverted index is needed: the length and the frequencies of the few query terms are counted by
+patterns in each row, and the only exchange is the one-row aggregate of N, the lengths and the document frequencies.
+``materialize`` writes these few numbers per row to the checkpoint folder, so that a plan that uses the scores several
+times (hybrid search does) reads the texts once.
 For many queries the term table is joined on the term.
 
 Defined cases: null texts are documents without tokens; an empty query scores 0 everywhere; an empty corpus has an
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import tokens
+from plumbline.operators.ids import checkpointed
 
 K1, B = 1.2, 0.75
 
@@ -29,7 +32,7 @@ def query_tokens(query: str) -> list[str]:
 
 
 def document_lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return docs.select(key, F.coalesce(F.size(tokens(F.coalesce(F.col(text), F.lit("")))), F.lit(0)).cast("long").alias("dl"))
+    return docs.select(key, _length(text).cast("long").alias("dl"))
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -55,18 +58,24 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _count(array: str, term: str) -> Column:
-    return F.size(F.filter(array, lambda t: t == term))
+def _length(text: str) -> Column:
+    """Number of tokens: maximal runs of two or more ASCII letters or digits."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit("[a-zA-Z0-9]{2,}")), F.lit(0))
 
 
-def scores(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame:
+def _frequency(text: str, term: str) -> Column:
+    whole = f"(?i){term}(?![a-z0-9])(?<![a-z0-9]{term})"
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(whole)), F.lit(0))
+
+
+def scores(docs: DataFrame, query: str, key: str, text: str = "text", materialize: bool = False) -> DataFrame:
     """(key, score) of every document, zeros kept."""
     wanted = Counter(query_tokens(query))
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("score"))
-    own = docs.select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_t"))
-    counts = [_count("_t", w).cast("double").alias(f"_f{i}") for i, w in enumerate(wanted)]
-    own = own.select(key, F.size("_t").cast("double").alias("_dl"), *counts)
+    counts = [_frequency(text, w).cast("double").alias(f"_f{i}") for i, w in enumerate(wanted)]
+    own = docs.select(key, _length(text).cast("double").alias("_dl"), *counts)
+    own = checkpointed(own) if materialize else own
     stats = own.agg(
         F.struct(
             F.count("*").cast("double").alias("n"),
@@ -81,8 +90,8 @@ def scores(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFra
 
 def search(docs: DataFrame, query: str, k: int, key: str, text: str = "text") -> DataFrame:
     """(key, score, rank) of the k best documents with a positive score, ties by key."""
-    best = scores(docs, query, key, text).where("score > 0").orderBy(F.desc("score"), key).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    best = scores(docs, query, key, text).where("score > 0").orderBy(F.desc(F.round("score", 9)), key).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), key)))
 
 
 def search_many(tf: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
@@ -92,11 +101,11 @@ def search_many(tf: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, k
     of each query is limited before and after the exchange.
     """
     asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    hits = checkpointed(tf.join(asked.select("term").distinct(), "term", "left_semi"))  # used twice
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     total = lengths.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")))
     rows = hits.join(df, "term").join(lengths, key).join(asked, "term").withColumn("_s", total.scalar())
     part = idf(F.col("_s.n"), F.col("df")) * weight(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("_s.avgdl")) * F.col("qtf")
     summed = rows.groupBy("query_id", key).agg(F.sum(part).alias("score"))
-    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
+    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)))
     return ranked.where(F.col("rank") <= k)

@@ -35,5 +35,5 @@ def expand(query: str, docs: DataFrame, key: str, text: str = "text", passages:
     """The query with new terms of its BM25 top passages; longer queries and those without hits stay as they are."""
     if len(query.split()) > 3 or not re.search(r"\S", query):
         return query
-    hits = docs.join(bm25.search(docs, query, passages, key, text).select(key), key, "left_semi")
-    return " ".join([query, *expansion_terms(query, hits, n, text)])
+    best = [r[key] for r in bm25.search(docs, query, passages, key, text).select(key).collect()]  # a handful
+    return " ".join([query, *expansion_terms(query, docs.where(F.col(key).isin(best)), n, text)]) if best else query

@@ -54,8 +54,8 @@ def search(passages: DataFrame, embeddings: DataFrame, query: Sequence[float], o
     else:
         hits = vectors.top_k(embeddings.join(pool.select(key), key, "left_semi") if early else embeddings, query, fetch, key).select(key, "score")
     if fused:
-        scores = bm25.scores(pool, options.query_text, key, text)
-        best = scores.where("score > 0").orderBy(F.desc("score"), key).limit(fetch)
+        scores = bm25.scores(pool, options.query_text, key, text, materialize=True)
+        best = scores.where("score > 0").orderBy(F.desc(F.round("score", 9)), key).limit(fetch)
         if options.fusion_input == "distance":
             hits = hits.withColumn("score", 1.0 - F.col("score"))
         hits = hybrid.fuse(hybrid.candidates_of(hits, best, key), scores, options.hybrid_alpha, key).select(key, "score", "rank")

@@ -101,7 +101,7 @@ def bm25_scores_all(spark, d):
     return bm25.scores(docs(spark, d), QUERY, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
+@query(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 4) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM bm WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
 def bm25_topk(spark, d):
     return bm25.search(docs(spark, d), QUERY, 10, "doc_id").select("doc_id", F.round("score", 4).alias("score"), "rank")
 
@@ -138,27 +138,27 @@ _DOT = "round(list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9)
 _PROBED = f"FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = {PROBE}) p"
 
 
-@query(f"SELECT vec_id, round({_DOT}, 6) AS score, row_number() OVER (ORDER BY {_DOT} DESC, vec_id)::INT AS rank {_PROBED} ORDER BY {_DOT} DESC, vec_id LIMIT 10")
+@query(f"SELECT vec_id, {_DOT} AS score, row_number() OVER (ORDER BY {_DOT} DESC, vec_id)::INT AS rank {_PROBED} ORDER BY {_DOT} DESC, vec_id LIMIT 10")
 def vector_topk(spark, d):
-    return vectors.top_k(vecs(spark, d), probe(spark, d), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"), "rank")
+    return vectors.top_k(vecs(spark, d), probe(spark, d), 10, "vec_id").select("vec_id", "score", "rank")
 
 
-@query(f"SELECT vec_id, round(1 - {_DOT}, 6) AS distance {_PROBED}")
+@query(f"SELECT vec_id, round(1 - list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) AS distance {_PROBED}")
 def vector_distance(spark, d):
     q = vx.literal(probe(spark, d))
-    return vecs(spark, d).select("vec_id", F.round(1 - F.round(vx.dot("embedding", q), 9), 6).alias("distance"))
+    return vecs(spark, d).select("vec_id", F.round(1 - vx.dot("embedding", q), 9).alias("distance"))
 
 
 @query(
     """WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], qe::DOUBLE[]), 9) AS score FROM embeddings CROSS JOIN q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10"""
+SELECT query_id, vec_id, score, rank::INT AS rank FROM r WHERE rank <= 10"""
 )
 def vector_topk_batch(spark, d):
     own = vecs(spark, d)
     asked = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.top_k_many(own, asked, 10, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return vectors.top_k_many(own, asked, 10, "vec_id").select("query_id", "vec_id", "score", "rank")
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")
@@ -274,7 +274,7 @@ def filter_json_nested(spark, d):
 
 
 def _prefilter_sql(where: str, k: int) -> str:
-    return f"""SELECT d.doc_id, round({_DOT}, 6) AS score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
+    return f"""SELECT d.doc_id, {_DOT} AS score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
 CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = {PROBE}) p WHERE {where} ORDER BY {_DOT} DESC, d.doc_id LIMIT {k}"""
 
 
@@ -287,18 +287,18 @@ def prefilter_knn(spark, d):
     from plumbline.operators.search import SearchOptions, search
 
     found = search(docs(spark, d), _vectors(spark, d), probe(spark, d), SearchOptions(10, filter="lang=en,n_chars>500"), key="doc_id")
-    return found.select("doc_id", F.round("score", 6).alias("score"))
+    return found.select("doc_id", "score")
 
 
 @query(
     f"""WITH near AS (SELECT e.vec_id, {_DOT} AS score {_PROBED} ORDER BY score DESC, e.vec_id LIMIT 50)
-SELECT doc_id, round(score, 6) AS score FROM near JOIN documents ON doc_id = vec_id WHERE lang = 'en' AND n_chars > 500 ORDER BY score DESC, doc_id LIMIT 10"""
+SELECT doc_id, score FROM near JOIN documents ON doc_id = vec_id WHERE lang = 'en' AND n_chars > 500 ORDER BY score DESC, doc_id LIMIT 10"""
 )
 def postfilter_knn(spark, d):
     from plumbline.operators.search import SearchOptions, search
 
     found = search(docs(spark, d), _vectors(spark, d), probe(spark, d), SearchOptions(10, filter="lang=en,n_chars>500", post_filter=True), key="doc_id")
-    return found.select("doc_id", F.round("score", 6).alias("score"))
+    return found.select("doc_id", "score")
 
 
 def _hybrid_sql(where: str | None, k: int, alpha: float = ALPHA) -> str:
@@ -306,7 +306,7 @@ def _hybrid_sql(where: str | None, k: int, alpha: float = ALPHA) -> str:
     within = "WHERE e.vec_id IN (SELECT doc_id FROM pool)" if where else ""
     return f"""WITH {_bm25_sql(where or 'true')},
 near AS (SELECT e.vec_id AS doc_id, {_DOT} AS v {_PROBED} {within} ORDER BY v DESC, doc_id LIMIT {5 * k}),
-best AS (SELECT doc_id FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT {5 * k}),
+best AS (SELECT doc_id FROM bm WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id LIMIT {5 * k}),
 cand AS (SELECT doc_id, v FROM near UNION ALL SELECT doc_id, 0.0 FROM best WHERE doc_id NOT IN (SELECT doc_id FROM near)),
 span AS (SELECT min(score) AS lo, max(score) AS hi FROM bm), vs AS (SELECT min(v) AS lo, max(v) AS hi FROM cand),
 f AS (SELECT cand.doc_id, v, {alpha} * (v - vs.lo) / greatest(vs.hi - vs.lo, 1e-6) + {1 - alpha} * (coalesce(score, 0) - span.lo) / greatest(span.hi - span.lo, 1e-6) AS score
@@ -345,13 +345,13 @@ def minmax_normalize(spark, d):
 
 @query(
     f"""WITH {_bm25_sql()}, near AS (SELECT e.vec_id AS doc_id, {_DOT} AS score {_PROBED} ORDER BY score DESC, doc_id LIMIT 25),
-best AS (SELECT doc_id FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25)
-SELECT doc_id, round(score, 6) AS score FROM near UNION ALL SELECT doc_id, 0.0 FROM best WHERE doc_id NOT IN (SELECT doc_id FROM near)"""
+best AS (SELECT doc_id FROM bm WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id LIMIT 25)
+SELECT doc_id, score FROM near UNION ALL SELECT doc_id, 0.0 FROM best WHERE doc_id NOT IN (SELECT doc_id FROM near)"""
 )
 def candidate_union(spark, d):
     near = vectors.top_k(_vectors(spark, d), probe(spark, d), 25, "doc_id").select("doc_id", "score")
     best = bm25.search(docs(spark, d), QUERY, 25, "doc_id")
-    return hybrid.candidates_of(near, best, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return hybrid.candidates_of(near, best, "doc_id").select("doc_id", "score")
 
 
 @query()
@@ -519,7 +519,7 @@ def rag_prompt(spark, d):
     return rows.select("source", F.length(rag.prompt_column("context", F.col("source"))).cast("long").alias("chars"))
 
 
-@query(f"WITH {_bm25_sql()} SELECT bm.doc_id, 'passage: ' || left(text, 40) AS prefixed, printf('%.4f', round(score, 4)) AS shown FROM bm JOIN documents USING (doc_id) WHERE score > 0 ORDER BY score DESC, bm.doc_id LIMIT 10")
+@query(f"WITH {_bm25_sql()} SELECT bm.doc_id, 'passage: ' || left(text, 40) AS prefixed, printf('%.4f', round(score, 4)) AS shown FROM bm JOIN documents USING (doc_id) WHERE score > 0 ORDER BY round(score, 9) DESC, bm.doc_id LIMIT 10")
 def result_lines(spark, d):
     from plumbline.operators.embed import with_prefix
 
