@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpointed, latest
@@ -156,8 +156,12 @@ def usable(vectors: DataFrame, meta: DataFrame) -> DataFrame:
     dims = meta.groupBy("index_name").agg(F.max("dimensions").alias("_width")).withColumnRenamed("index_name", "_index")
     rows = latest(vectors.where("vec_id is not null").select("vec_id", "index_name", "embedding", "ingested_at"), ["vec_id"], "ingested_at", "index_name", "embedding")
     rows = rows.join(dims, (F.col("index_name") == F.col("_index")) & (F.size("embedding") == F.col("_width")), "inner")
-    finite = F.forall("embedding", lambda e: e.isNotNull() & (F.abs(e) < float("inf")))
-    return rows.where(finite & F.exists("embedding", lambda e: e != 0)).select("index_name", "vec_id", "embedding")
+    return rows.where(_sound()).select("index_name", "vec_id", "embedding")
+
+
+def _sound() -> Column:
+    """All elements finite, and not all zero."""
+    return F.forall("embedding", lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & F.exists("embedding", lambda e: e != 0)
 
 
 def _matrix(column) -> np.ndarray:
@@ -224,7 +228,7 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
     """vec_id, neighbor_id, rank, similarity (cosine) of the k most similar vectors of the same index."""
     rows = usable(vectors, meta)
     copy = F.xxhash64("index_name", "embedding")
-    crowded = vectors.where("embedding is not null").groupBy("index_name", copy.alias("copy")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
+    crowded = vectors.where(_sound()).groupBy("index_name", copy.alias("copy")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
     crowded = checkpointed(crowded.select("index_name", "copy"))
     direct = None
     if not crowded.isEmpty():
