@@ -6,7 +6,8 @@ Two small collections of half keys are made from each set: ``TABLES`` half keys
 probability (1 − (1 − s^HALF)^TABLES)²: 0.97 at 0.7, 0.99 at 0.75, over 0.999 from 0.85. Rows aren't sent to every
 table: each goes to its TABLES half keys A_i and carries its B minhashes, and the tables (i, ·) of a bucket are
 formed where the bucket is processed. A bucket of A_i that exceeds ``BUCKET_ROWS`` is divided by its full keys
-(A_i, B_j), so a key that a third of all rows share is spread over as many tasks as it has tables; nothing is cut.
+(A_i, B_j), and one that is still too large into pairs of blocks, so a key that a third of all rows share never
+comes into one task, and nothing is cut.
 Members of a table are compared by their B minhashes (8 bits each) and candidates verified exactly on the words.
 
 Copies: chunks with the same set of words are one class and one row of the search. Links are found between class
@@ -114,10 +115,14 @@ def signatures(chunks: DataFrame) -> DataFrame:
     return latest(signed, ["chunk_id"], "ingested_at", "same", "same2", "size", "a", "b")
 
 
-def _meet(key: np.ndarray, ids: np.ndarray, size: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among the rows, which meet in a table if they agree in key and in one of the B half keys."""
-    left, right = [], []
+def _meet(key: np.ndarray, ids: np.ndarray, size: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """Candidate pairs among the rows, which meet in a table if they agree in key and in one of the B half keys.
+
+    Pairs come in arrays of bounded size; one that meets in several tables may come several times.
+    """
     parts = b.reshape(len(b), TABLES, HALF).astype(np.uint64)
+    found: list[np.ndarray] = []
+    held = 0
     for j in range(TABLES):
         own = key.astype(np.uint64).copy()
         for h in range(HALF):
@@ -137,51 +142,74 @@ def _meet(key: np.ndarray, ids: np.ndarray, size: np.ndarray, b: np.ndarray) ->
                     i, k = np.nonzero(near)
                     p, q = ids[x[i]], ids[y[k]]
                     ok = p != q
-                    left.append(np.minimum(p[ok], q[ok]))
-                    right.append(np.maximum(p[ok], q[ok]))
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+                    found.append(np.stack([np.minimum(p[ok], q[ok]), np.maximum(p[ok], q[ok])], 1))
+                    held += len(found[-1])
+            if held > 500_000:
+                yield np.unique(np.concatenate(found), axis=0)
+                found, held = [], 0
+    if held:
+        yield np.unique(np.concatenate(found), axis=0)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; whole buckets are taken together, up to a bounded number of rows at a time."""
+    """Rows come sorted by bucket, and no bucket is large; whole buckets are taken together."""
     held: list[pa.RecordBatch] = []
+    count = 0
 
-    def flush(t: pa.Table) -> pa.RecordBatch:
+    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
         b = np.frombuffer(b"".join(t.column("b").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-        x, y = _meet(t.column("bucket").to_numpy(), t.column("rep").to_numpy(), t.column("size").to_numpy(), b)
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        for pairs in _meet(t.column("bucket").to_numpy(), t.column("rep").to_numpy(), t.column("size").to_numpy(), b):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) < 50_000:
+        count += batch.num_rows
+        if count < 50_000:
             continue
         t = pa.Table.from_batches(held)
         bucket = t.column("bucket").to_numpy()
-        last = np.searchsorted(bucket, bucket[-1])  # the last bucket may go on
+        last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
         if last:
-            yield flush(t.slice(0, last))
+            yield from flush(t.slice(0, last))
             held = t.slice(last).combine_chunks().to_batches()
-    if held:
-        t = pa.Table.from_batches(held)
-        if t.num_rows:
-            yield flush(t)
+            count = t.num_rows - last
+    if count:
+        yield from flush(pa.Table.from_batches(held))
+
+
+def _crowded(keyed: DataFrame) -> DataFrame:
+    """Buckets of more than BUCKET_ROWS rows, with the number of blocks they need."""
+    counts = keyed.groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS)
+    return checkpointed(counts.select("bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("blocks")))
+
+
+def _divided(keyed: DataFrame) -> DataFrame:
+    """The rows with buckets of bounded size.
+
+    A crowded bucket of A_i is divided by the full keys (A_i, B_j). One that is still crowded is cut into blocks by
+    a hash of the row, and every two blocks meet in a bucket of their own: the exact way, without a cap.
+    """
+    hot = _crowded(keyed)
+    if hot.isEmpty():
+        return keyed
+    full = keyed.join(hot.select("bucket"), "bucket", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))))
+    full = full.withColumn("bucket", F.xxhash64("bucket", "j", F.substring("b", F.col("j") * HALF + 1, F.lit(HALF)))).select(*keyed.columns)
+    plain = keyed.join(hot.select("bucket"), "bucket", "left_anti")
+    still = _crowded(full)
+    if not still.isEmpty():
+        own = F.pmod(F.xxhash64("rep", F.lit(4)), F.col("blocks"))
+        blocks = full.join(still, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocks = blocks.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).select(*keyed.columns)
+        full = full.join(still.select("bucket"), "bucket", "left_anti").unionByName(blocks)
+    return plain.select(*keyed.columns).unionByName(full)
 
 
 def class_links(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: chunk_id, rep, size; links: a < b, similarity): classes of equal sets and the links between them."""
     signed = checkpointed(signatures(chunks))
-    classes = signed.groupBy("same", "same2").agg(F.min(F.struct("chunk_id", "size", "a", "b")).alias("r"))
+    classes = checkpointed(signed.groupBy("same", "same2").agg(F.min(F.struct("chunk_id", "size", "a", "b")).alias("r")))  # used three times
     reps = classes.select(F.col("r.chunk_id").alias("rep"), "r.size", "r.a", "r.b")
-    keyed = reps.select("rep", "size", "b", F.explode("a").alias("bucket"))
-    hot = checkpointed(reps.select(F.explode("a").alias("bucket")).groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS).select("bucket"))
-    if not hot.isEmpty():
-        # buckets beyond the limit: one row for each table (A_i, B_j)
-        divided = keyed.join(hot, "bucket", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))))
-        divided = divided.withColumn("bucket", F.xxhash64("bucket", "j", F.substring("b", F.col("j") * HALF + 1, F.lit(HALF)))).drop("j")
-        keyed = keyed.join(hot, "bucket", "left_anti").unionByName(divided.select(*keyed.columns))
+    keyed = _divided(reps.select("rep", "size", "b", F.explode("a").alias("bucket")))
     placed = keyed.repartition("bucket").sortWithinPartitions("bucket")
     found = placed.select("bucket", "rep", "size", "b").mapInArrow(_candidates, "a bigint, b bigint").distinct()
     found = checkpointed(found)
