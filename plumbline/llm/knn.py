@@ -153,8 +153,13 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
 
 def usable(vectors: DataFrame, meta: DataFrame) -> DataFrame:
     """index_name, vec_id, embedding of the vectors that take part."""
-    dims = meta.groupBy("index_name").agg(F.max("dimensions").alias("_width")).withColumnRenamed("index_name", "_index")
     rows = latest(vectors.where("vec_id is not null").select("vec_id", "index_name", "embedding", "ingested_at"), ["vec_id"], "ingested_at", "index_name", "embedding")
+    return _fitting(rows, meta)
+
+
+def _fitting(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """Vectors as wide as their index says, finite and not zero."""
+    dims = meta.groupBy("index_name").agg(F.max("dimensions").alias("_width")).withColumnRenamed("index_name", "_index")
     rows = rows.join(dims, (F.col("index_name") == F.col("_index")) & (F.size("embedding") == F.col("_width")), "inner")
     return rows.where(_sound()).select("index_name", "vec_id", "embedding")
 
@@ -244,16 +249,21 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
 
     big = vectors.groupBy("index_name").count().where(F.col("count") > SHARD_ROWS).where("index_name is not null").collect()  # at most total / SHARD_ROWS rows
     counts = {r["index_name"]: r["count"] for r in big}
-    routers = _routers(rows, counts) if counts else {}
+    routers = _routers(_fitting(vectors, meta), counts) if counts else {}
     if any(routers.values()):
         routed = _route(rows, routers)
     else:
         routed = rows.select("index_name", "vec_id", "embedding", F.lit(0).alias("shard"), F.lit(True).alias("stored"))
     # shards beyond the limit: their rows are dealt out, their queries ask everywhere
-    parts = {name: max(1, -(-n // (SHARD_ROWS * max(1, 1 << (routers[name][0].depth if routers.get(name) else 0))) // 2)) for name, n in counts.items()}
-    if any(p > 1 for p in parts.values()):
-        of = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("index_name")], F.lit(1))
-        routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), of - 1))).withColumn("stored", F.col("stored") & (F.pmod(F.xxhash64("vec_id", F.lit(3)), of) == F.col("part")))
+    hot = []
+    if counts:
+        sizes = routed.where("stored").groupBy("index_name", "shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD_ROWS)
+        hot = [(r["index_name"], r["shard"], -(-r["n"] // SHARD_ROWS)) for r in sizes.collect()]  # at most rows / SHARD_ROWS
+    if hot:
+        parts = rows.sparkSession.createDataFrame(hot, "index_name string, shard int, parts int")
+        of = F.coalesce(F.col("parts"), F.lit(1))
+        routed = routed.join(parts, ["index_name", "shard"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), of - 1)))
+        routed = routed.withColumn("stored", F.col("stored") & (F.pmod(F.xxhash64("vec_id", F.lit(3)), of) == F.col("part"))).select("index_name", "vec_id", "embedding", "shard", "stored", "part")
     else:
         routed = routed.withColumn("part", F.lit(0))
 

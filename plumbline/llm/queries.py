@@ -69,7 +69,7 @@ def p3_files(spark: SparkSession, d: str) -> DataFrame:
     """Features, evidence and verdict of every file of program code."""
     from plumbline.llm.handwritten import judge_files
 
-    return judge_files(table(spark, d, "chunks"))
+    return judge_files(table(spark, d, "chunks", "chunk_id"))
 
 
 @query
@@ -86,7 +86,7 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk's class of equal word sets, with the number of its copies and of its links to other classes."""
     from plumbline.llm.neardup import similar_classes
 
-    return similar_classes(table(spark, d, "chunks"))
+    return similar_classes(table(spark, d, "chunks", "chunk_id"))
 
 
 @query
@@ -94,7 +94,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose sets of words have a similarity of at least 0.7."""
     from plumbline.llm.neardup import similar_chunks
 
-    return similar_chunks(table(spark, d, "chunks"))
+    return similar_chunks(table(spark, d, "chunks", "chunk_id"))
 
 
 SQL["p4_found"] = """
@@ -116,7 +116,7 @@ WHERE 10 * k >= 7 * (x.n + y.n - k)"""
 def _items(spark: SparkSession, d: str) -> DataFrame:
     from plumbline.llm.secrets import all_items
 
-    return all_items(table(spark, d, "chunks"), table(spark, d, "code_blocks"))
+    return all_items(table(spark, d, "chunks", "chunk_id"), table(spark, d, "code_blocks", "block_id"))
 
 
 @query
@@ -149,7 +149,7 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every document's place in the sequences of each limit."""
     from plumbline.llm.pack import pack
 
-    return pack(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+    return pack(table(spark, d, "documents", "doc_id"), table(spark, d, "pack_limits"))
 
 
 @query
@@ -168,7 +168,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The selected documents with their numbers of copies."""
     from plumbline.llm.mix import mix
 
-    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mix(table(spark, d, "documents", "doc_id"), table(spark, d, "mix_targets"))[0]
 
 
 @query
@@ -176,7 +176,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of each named source."""
     from plumbline.llm.mix import mix, share_report
 
-    return share_report(*mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+    return share_report(*mix(table(spark, d, "documents", "doc_id"), table(spark, d, "mix_targets")))
 
 
 # 8. Spam pages --------------------------------------------------------------------------------------------------
@@ -187,7 +187,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     """Spam share, mean PMI and share of repeated collocations of every document."""
     from plumbline.llm.spam import score_pages
 
-    return score_pages(table(spark, d, "documents"))
+    return score_pages(table(spark, d, "documents", "doc_id"))
 
 
 @query
