@@ -68,9 +68,12 @@ KNOWN = re.compile(
     r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bgithub_pat_\w{22,}|\bxox[abeoprs]-[0-9A-Za-z-]{20,}|\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"
     r"|\bAIza[0-9A-Za-z_-]{35}|\bsk-(?:proj-|ant-)?[0-9A-Za-z_-]{20,}|\beyJ[0-9A-Za-z_-]{8,}={0,2}\.eyJ[0-9A-Za-z_-]{8,}={0,2}\.[0-9A-Za-z_-]{8,}|\bglpat-[0-9A-Za-z_-]{20,}|\bSG\.[\w-]{16,}\.[\w-]{16,}"
 )
-REFERENCE = re.compile(r"\$\{|\$\(|%\(|\{\{|<[\w -]+>|^\$[A-Za-z_]\w*$|^%\w+%$|^(?:vault|env|ssm|secret|secrets|file|arn|keychain|op|kms|aws|gcp|sops)[:/]|^(?:os\.|process\.|getenv|System\.|ENV\b)|^&|^@")
-MASKED = re.compile(r"\*{3,}|[xX]{5,}|\.{3,}|•{3,}|#{4,}|_{5,}|-{6,}$|^(.)\1+$")
-HOLDER = re.compile(r"(?i)your|change|replace|todo|fixme|placeholder|example|dummy|sample|redacted|insert|enter|goes.?here|^none$|^null$|^test$|^n/a$|^tbd$|^unset$|fill.?in|not.?set|removed|hidden")
+REFERENCE = re.compile(r"\$\{[^}]*\}|\$\([^)]*\)|%\(\w+\)|\{\{.*\}\}|^<[^<>]+>$|^\$[A-Za-z_]\w*$|^%\w+%$|^(?:vault|env|ssm|secret|secrets|file|arn|keychain|op|kms|aws|gcp|sops)[:/]|^(?:os\.|process\.|getenv|System\.|ENV\b)")
+MASKED = re.compile(r"\*{3,}|[xX]{6,}|\.{3,}|•{3,}|#{4,}|_{5,}|-{6,}$|^(.)\1+$")
+HOLDER = re.compile(
+    r"(?i)(?:^|[\W_])(?:your|my)[\W_]|change[\W_]?(?:me|this|it)|replace[\W_]?(?:me|this|with)|(?:^|[\W_])(?:todo|fixme|tbd|placeholder|dummy|redacted)(?:$|[\W_])|(?:^|[\W_])(?:insert|enter|put)[\W_]|goes[\W_]?here|fill[\W_]?in|not[\W_]?set"
+    r"|^(?:none|null|nil|test|n/a|unset|removed|hidden|example|sample)$|(?:example|sample|fake|dummy)[\W_]?(?:key|secret|token|password|value)|(?:key|secret|token|password)[\W_]?(?:example|here)"
+)
 UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 HEX = re.compile(r"^[0-9a-fA-F]+$")
 SETTINGS = re.compile(r"\.(?:env|ini|ya?ml|toml|properties|conf|cfg|json|xml|local|sh|tf)$")
