@@ -20,14 +20,17 @@ from plumbline.operators.chunking import chunk_table
 from plumbline.operators.expansion import expand
 from plumbline.operators.ids import numbered
 from plumbline.operators.search import SearchOptions, recompute_search, search, wants_hybrid
+from plumbline.operators.vectors import InvertedFile
 from plumbline.sources.files import list_files, read_texts
 
 HOME = ".plumbline/indexes"
+#: Names of approximate backends: all are inverted files here; the names of graph indexes are kept for old commands.
+APPROXIMATE = ("ivf", "hnsw", "diskann")
 
 
 @dataclass
 class IndexMeta:
-    """``passage_count`` is what was written; ``backend_name`` exact or ivf."""
+    """``passage_count`` is what was written; ``backend_name`` exact, or approximate (APPROXIMATE)."""
 
     version: str = "1.0"
     backend_name: str = "exact"
@@ -119,8 +122,20 @@ class Catalog:
             vectors = rows.select("id", emb.embed_column(self._provider(meta, o.embedding), "text", prefix).alias("embedding"))
             vectors = vectors.withColumn("embedding", F.when(F.size("embedding") == meta.dimensions, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("wrong width: "), F.size("embedding")))))
             vectors.write.mode(mode).parquet(os.path.join(folder, "vectors"))
+            if meta.backend_name in APPROXIMATE:
+                self._write_lists(folder, meta, start)
         return rows.count()
 
+    def _write_lists(self, folder: str, meta: IndexMeta, start: int) -> None:
+        """The inverted file: built with the index, later vectors go to the lists of the existing centroids."""
+        path, stored = os.path.join(folder, "ivf"), self.spark.read.parquet(os.path.join(folder, "vectors"))
+        if os.path.isdir(path):
+            index = InvertedFile.load(self.spark, path, "id")
+            InvertedFile.build_with(index.centroids, stored.where(F.col("id") >= start), "id").save(path, "append")
+        else:
+            lists = int((meta.backend_kwargs or {}).get("graph_degree", 32))
+            InvertedFile.build(stored, "id", lists=lists).save(path)
+
     def build(self, name: str, docs: DataFrame | Sequence[str], meta: IndexMeta | None = None, options: BuildOptions | None = None) -> IndexMeta:
         """Creates an index from files or from a table (source, text). An existing one is an error without force."""
         o, meta = options or BuildOptions(), meta or IndexMeta()
@@ -157,6 +172,7 @@ class Catalog:
         if meta.is_pruned or not os.path.isdir(stored):
             return False
         shutil.rmtree(stored)
+        shutil.rmtree(os.path.join(folder, "ivf"), ignore_errors=True)
         meta.is_pruned = True
         meta.save(folder)
         return True
@@ -198,4 +214,6 @@ class Catalog:
         text = expand(query, passages, "id") if expand_query else query
         o = SearchOptions(**{**o.__dict__, "query_text": text, "auto_hybrid": False})
         vectors = self.spark.read.parquet(os.path.join(folder, "vectors"))
-        return search(passages, vectors, emb.embed_query(own, text, head), o)
+        lists = os.path.join(folder, "ivf")
+        index = InvertedFile.load(self.spark, lists, "id") if os.path.isdir(lists) else None
+        return search(passages, vectors, emb.embed_query(own, text, head), o, index=index)

@@ -34,9 +34,9 @@ def parser() -> argparse.ArgumentParser:
 
     b = sub.add_parser("build")
     files(b, "simple")
-    b.add_argument("--backend-name", choices=["exact", "ivf"], default="exact")
+    b.add_argument("--backend-name", choices=["exact", "ivf", "hnsw", "diskann"], default="exact")
     b.add_argument("--embedding-model", default="hashing")
-    b.add_argument("--embedding-mode", choices=sorted(["hashing", "openai", "ollama", "gemini"]), default="hashing")
+    b.add_argument("--embedding-mode", choices=sorted(["hashing", "openai", "ollama", "gemini", "local"]), default="hashing")
     b.add_argument("--embedding-host")
     b.add_argument("--embedding-api-base")
     b.add_argument("--embedding-api-key")

@@ -7,6 +7,7 @@ worker. Without network the hashing provider gives deterministic vectors; HTTP p
 from __future__ import annotations
 
 import json
+import os
 import re
 import urllib.error
 import urllib.request
@@ -156,7 +157,43 @@ class GeminiProvider:
         return out
 
 
-PROVIDERS = {"hashing": HashingProvider, "openai": OpenAiProvider, "ollama": OllamaProvider, "gemini": GeminiProvider}
+@dataclass
+class LocalProvider:
+    """A model on disk: a folder with model.onnx and tokenizer.json. Masked mean pooling, then unit length."""
+
+    model: str
+    batch_size: int = 32
+
+    def __post_init__(self):
+        if not os.path.isfile(os.path.join(self.model, "model.onnx")):
+            raise FileNotFoundError(f"no model.onnx in {self.model}")
+
+    def _load(self):
+        if not hasattr(self, "_session"):
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            self._session = onnxruntime.InferenceSession(os.path.join(self.model, "model.onnx"))
+            self._tokenizer = Tokenizer.from_file(os.path.join(self.model, "tokenizer.json"))
+            self._tokenizer.enable_padding()
+            self._tokenizer.enable_truncation(512)
+        return self._session, self._tokenizer
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        session, tokenizer = self._load()
+        known = {i.name for i in session.get_inputs()}
+        out: list[list[float]] = []
+        for lo in range(0, len(texts), self.batch_size):
+            rows = tokenizer.encode_batch(texts[lo : lo + self.batch_size])
+            ids, mask = (np.array([getattr(r, k) for r in rows], dtype=np.int64) for k in ("ids", "attention_mask"))
+            given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            hidden = session.run(None, {k: v for k, v in given.items() if k in known})[0]
+            pooled = (hidden * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
+            out += (pooled / np.maximum(np.sqrt((pooled * pooled).sum(1, keepdims=True)), 1e-12)).tolist()
+        return out
+
+
+PROVIDERS = {"hashing": HashingProvider, "openai": OpenAiProvider, "ollama": OllamaProvider, "gemini": GeminiProvider, "local": LocalProvider}
 
 
 def provider(mode: str, **options):

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vector import dot, literal
@@ -91,6 +91,11 @@ class InvertedFile:
         centroids = _k_means(_matrix(column, width)[1], lists, seed)
         return cls(centroids, cls._assign(usable, centroids, key, vector), key, vector)
 
+    @classmethod
+    def build_with(cls, centroids: np.ndarray, vectors: DataFrame, key: str, vector: str = "embedding") -> InvertedFile:
+        """Assigns vectors to given centroids."""
+        return cls(centroids, cls._assign(vectors.where(F.col(vector).isNotNull()), centroids, key, vector), key, vector)
+
     @staticmethod
     def _assign(vectors: DataFrame, centroids: np.ndarray, key: str, vector: str) -> DataFrame:
         shared = vectors.sparkSession.sparkContext.broadcast(centroids)
@@ -110,13 +115,24 @@ class InvertedFile:
         """Appends vectors to the lists of the existing centroids."""
         return InvertedFile(self.centroids, self.assigned.unionByName(self._assign(more, self.centroids, self.key, self.vector)), self.key, self.vector)
 
-    def save(self, path: str) -> None:
-        self.assigned.write.mode("overwrite").partitionBy("centroid").parquet(path)
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        """Writes the lists, one partition per centroid, and the centroids beside them. ``append`` keeps the latter."""
+        self.assigned.write.mode(mode).partitionBy("centroid").parquet(f"{path}/lists")
+        if mode != "append":
+            rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
+            self.assigned.sparkSession.createDataFrame(rows, "centroid int, center array<double>").coalesce(1).write.mode(mode).parquet(f"{path}/centroids")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, key: str, vector: str = "embedding") -> InvertedFile:
+        centers = spark.read.parquet(f"{path}/centroids").orderBy("centroid").collect()  # as many rows as lists
+        return cls(np.array([r["center"] for r in centers]), spark.read.parquet(f"{path}/lists"), key, vector)
 
     def probes(self, query: Sequence[float], complexity: int = 64) -> list[int]:
         """Numbers of the centroids nearest to the query; complexity 64 probes a quarter of the lists."""
         count = max(1, min(len(self.centroids), round(len(self.centroids) * complexity / 256)))
-        return [int(i) for i in np.argsort(-(self.centroids @ np.asarray(query, dtype=np.float64)), kind="stable")[:count]]
+        c = self.centroids
+        near = c @ np.asarray(query, dtype=np.float64) - 0.5 * (c * c).sum(1)  # as vectors are assigned
+        return [int(i) for i in np.argsort(-near, kind="stable")[:count]]
 
     def search(self, query: Sequence[float], k: int, complexity: int = 64) -> DataFrame:
         """(key, score, distance, rank): at least k lists' worth of candidates, ranked exactly."""

@@ -315,10 +315,10 @@ SELECT f.doc_id, round(f.score, 6) AS score, (row_number() OVER (ORDER BY round(
 QUALIFY row_number() OVER (ORDER BY round(f.score, 9) DESC, v DESC, f.doc_id) <= {k}"""
 
 
-def _hybrid(spark: SparkSession, d: str, condition: str | None, k: int) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, condition: str | None, k: int, alpha: float = ALPHA) -> DataFrame:
     from plumbline.operators.search import SearchOptions, search
 
-    found = search(docs(spark, d), _vectors(spark, d), probe(spark, d), SearchOptions(k, filter=condition, hybrid=True, hybrid_alpha=ALPHA, query_text=QUERY), key="doc_id")
+    found = search(docs(spark, d), _vectors(spark, d), probe(spark, d), SearchOptions(k, filter=condition, hybrid=True, hybrid_alpha=alpha, query_text=QUERY), key="doc_id")
     return found.select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -333,6 +333,18 @@ def hybrid_search(spark, d):
     return _hybrid(spark, d, None, 10)
 
 
+@query(_hybrid_sql("source = 'wiki'", 5, 0.0))
+def hybrid_text_only(spark, d):
+    """Alpha 0: the order of BM25 among the candidates."""
+    return _hybrid(spark, d, "source=wiki", 5, 0.0)
+
+
+@query(_hybrid_sql("source = 'wiki'", 5, 1.0))
+def hybrid_vector_only(spark, d):
+    """Alpha 1: the order of the vectors among the candidates."""
+    return _hybrid(spark, d, "source=wiki", 5, 1.0)
+
+
 @query(
     f"""WITH {_bm25_sql()}, span AS (SELECT min(score) AS lo, max(score) AS hi FROM bm)
 SELECT doc_id, round((score - lo) / greatest(hi - lo, 1e-6), 6) AS scaled FROM bm CROSS JOIN span"""
@@ -393,6 +405,15 @@ def sequential_ids(spark, d):
     return numbered(docs(spark, d).select("source", "doc_id"), ["source", "doc_id"]).select("doc_id", "id")
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) + (SELECT max(chunk_id) FROM chunks) AS id FROM documents")
+def update_ids(spark, d):
+    """Ids of an update go on after the last id of the index."""
+    from plumbline.operators.ids import numbered
+
+    last = table(spark, d, "chunks").agg(F.max("chunk_id")).first()[0] or 0
+    return numbered(docs(spark, d).select("doc_id"), ["doc_id"], start=last + 1)
+
+
 @query("SELECT m.index_name, m.passage_count AS stated, coalesce(c.n, 0) AS counted, m.dimensions FROM index_meta m LEFT JOIN (SELECT index_name, count(DISTINCT chunk_id) AS n FROM chunks GROUP BY 1) c USING (index_name)")
 def index_status(spark, d):
     counted = table(spark, d, "chunks").groupBy("index_name").agg(F.countDistinct("chunk_id").alias("n"))
@@ -434,6 +455,16 @@ def query_words(spark, d):
     return own.select("doc_id", F.size(tx.query_words("text")).cast("long").alias("n_words"))
 
 
+@query(
+    f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS w FROM documents)
+SELECT w AS word, ({_CODE_LIKE}) AS code_like, strlen(w) >= 4 AND w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^\\p{{N}}+$') AND NOT ({_CODE_LIKE}) AS key_term FROM w WHERE w <> ''"""
+)
+def word_classes(spark, d):
+    """Every distinct word, whether it looks like code, and whether it may become an expansion term."""
+    own = docs(spark, d).select(F.explode(tx.words("text")).alias("word")).distinct()
+    return own.select("word", tx.looks_like_code("word").alias("code_like"), tx.is_key_term("word").alias("key_term"))
+
+
 # chunks and files -----------------------------------------------------------------------------------------------
 
 
@@ -491,6 +522,55 @@ def languages(spark, d):
     return own.groupBy(tx.language("source").alias("language")).agg(F.count("*").alias("n"))
 
 
+_FILE = "regexp_extract(source, '[^/](\\.[^./]+)$', 1)"
+
+
+def _types_sql(types: list[str]) -> str:
+    return ", ".join(f"'{t}'" for t in types)
+
+
+def _file_rules_sql() -> str:
+    from plumbline.sources.files import SKIPPED_FOLDERS, TYPES
+
+    folders = "|".join(f.replace(".", "\\.") for f in SKIPPED_FOLDERS)
+    return f"""SELECT source, max(strlen(content)) AS size, bool_or({_FILE} <> '' AND {_FILE} <> '.rb' AND {_FILE} IN ({_types_sql(TYPES)}) AND strlen(content) <= CASE WHEN {_FILE} = '.json' THEN 10240 ELSE 1048576 END) AS read,
+bool_or(regexp_matches(source, '/({folders})/')) AS skipped, bool_or(regexp_matches(source, '(^|/)\\.[^/]')) AS hidden FROM code_blocks WHERE source IS NOT NULL AND content IS NOT NULL GROUP BY 1"""
+
+
+@query(_file_rules_sql())
+def file_rules(spark, d):
+    """The listing rules of the build command, over the paths of code blocks: type and size, folders, hidden names."""
+    from plumbline.sources import files
+
+    own = table(spark, d, "code_blocks").where("source is not null and content is not null").withColumn("size", F.octet_length("content").cast("long"))
+    rules = own.select("source", "size", files.allowed("source", "size", excluded=[".rb"]).alias("read"), files.in_skipped_folder("source").alias("skipped"), files.is_hidden("source").alias("hidden"))
+    return rules.groupBy("source").agg(F.max("size").alias("size"), F.bool_or("read").alias("read"), F.bool_or("skipped").alias("skipped"), F.bool_or("hidden").alias("hidden"))
+
+
+@query("SELECT index_name, coalesce(embedding_options::JSON->>'document_prefix', '') AS document_prefix, try_cast(backend_kwargs::JSON->>'complexity' AS INT) AS complexity FROM index_meta")
+def index_options(spark, d):
+    """Prefix and complexity of each index from its open metadata."""
+    m = table(spark, d, "index_meta")
+    prefix = F.coalesce(F.get_json_object("embedding_options", "$.document_prefix"), F.lit(""))
+    return m.select("index_name", prefix.alias("document_prefix"), F.get_json_object("backend_kwargs", "$.complexity").try_cast("int").alias("complexity"))
+
+
+@query(
+    """SELECT v.vec_id, v.ingested_at, coalesce(len(embedding), -1)::BIGINT AS width, embedding IS NOT NULL AND len(embedding) = m.dimensions AS fits,
+coalesce(len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0, false) AS broken, coalesce(len(list_filter(embedding, lambda x: x <> 0)) = 0, false) AS zero
+FROM vectors v JOIN index_meta m USING (index_name)"""
+)
+def vector_checks(spark, d):
+    """The checks of the embedding writer on every row: width, finite elements, not all zero."""
+    rows = table(spark, d, "vectors").join(table(spark, d, "index_meta").select("index_name", "dimensions"), "index_name")
+    broken = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.select(
+        "vec_id", "ingested_at", F.coalesce(F.when(F.col("embedding").isNotNull(), F.size("embedding")), F.lit(-1)).cast("long").alias("width"),
+        F.coalesce(F.col("embedding").isNotNull() & (F.size("embedding") == F.col("dimensions")), F.lit(False)).alias("fits"),
+        F.coalesce(broken, F.lit(False)).alias("broken"), F.coalesce(~F.exists("embedding", lambda x: x != 0), F.lit(False)).alias("zero"),
+    )
+
+
 # output ---------------------------------------------------------------------------------------------------------
 
 

@@ -169,6 +169,23 @@ def test_index_life(spark, catalog, tree):
         catalog.find("code")
 
 
+def test_approximate_backend(spark, catalog):
+    docs = spark.createDataFrame([(f"f{i}.md", f"passage number {i} about topic{i % 7} and word{i % 13}") for i in range(300)], "source string, text string")
+    catalog.build("apx", docs, IndexMeta(backend_name="ivf", backend_kwargs={"graph_degree": 8}))
+    query = "topic3 word5 passage"
+    got = {r.id for r in catalog.search("apx", query, SearchOptions(5, complexity=256)).collect()}
+    catalog.build("plain", docs)
+    exact = {r.id for r in catalog.search("plain", query, SearchOptions(5)).collect()}
+    assert got == exact
+    catalog.update("apx", spark.createDataFrame([("z.md", "zebra crossing quagga")], "source string, text string"))
+    assert catalog.search("apx", "zebra crossing quagga", SearchOptions(1)).first().source == "z.md"
+    catalog.build("old", docs.limit(5), IndexMeta(backend_name="diskann"))
+    with pytest.raises(ValueError):
+        catalog.update("old", docs.limit(1))
+    with pytest.raises(FileNotFoundError):
+        embed.provider("local", model="/nowhere")
+
+
 def test_wrong_width_is_an_error(spark, catalog):
     docs = spark.createDataFrame([("a.md", "text")], "source string, text string")
     with pytest.raises(Exception, match="wrong width"):
