@@ -15,6 +15,7 @@ from plumbline.functions import text as tx
 from plumbline.functions import vector as vx
 from plumbline.operators import bm25, expansion, hybrid, rag, vectors
 from plumbline.operators.filters import Json, Typed, compile_filter
+from plumbline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,14 +36,15 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents for work on their texts."""
+    return table(spark, d, "documents", "doc_id")
+
+
 def vecs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
@@ -71,44 +73,44 @@ bm AS (SELECT tok.doc_id, coalesce(sum(s), 0.0) AS score FROM tok LEFT JOIN part
 
 
 @query(f"WITH {_T} SELECT doc_id, coalesce(len(toks), -1)::BIGINT AS n_tokens, coalesce(len(list_distinct(toks)), -1)::BIGINT AS n_distinct FROM t")
-def tokenize_docs(spark, d):
-    t = docs(spark, d).select("doc_id", tx.tokens("text").alias("t"))
+def tokenize_texts(spark, d):
+    t = texts(spark, d).select("doc_id", tx.tokens("text").alias("t"))
     return t.select("doc_id", F.coalesce(F.size("t"), F.lit(-1)).cast("long").alias("n_tokens"), F.coalesce(F.size(F.array_distinct("t")), F.lit(-1)).cast("long").alias("n_distinct"))
 
 
 @query(f"WITH {_T} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM t) GROUP BY 1, 2")
 def term_frequencies(spark, d):
-    return bm25.term_frequencies(docs(spark, d), "doc_id")
+    return bm25.term_frequencies(texts(spark, d), "doc_id")
 
 
 @query(f"WITH {_T} SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(toks) AS term FROM t) GROUP BY 1")
 def term_doc_freq(spark, d):
-    return bm25.document_frequencies(bm25.term_frequencies(docs(spark, d), "doc_id"))
+    return bm25.document_frequencies(bm25.term_frequencies(texts(spark, d), "doc_id"))
 
 
 @query(f"WITH {_T} SELECT count(*) AS n, coalesce(sum(len(toks)), 0)::BIGINT AS total_tokens, round(avg(coalesce(len(toks), 0)), 6) AS avgdl FROM t")
 def corpus_stats(spark, d):
-    return bm25.corpus_stats(docs(spark, d), "doc_id").withColumn("avgdl", F.round("avgdl", 6))
+    return bm25.corpus_stats(texts(spark, d), "doc_id").withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(f"WITH {_T} SELECT doc_id, coalesce(len(toks), 0)::BIGINT AS dl FROM t")
 def document_lengths(spark, d):
-    return bm25.document_lengths(docs(spark, d), "doc_id")
+    return bm25.document_lengths(texts(spark, d), "doc_id")
 
 
 @query(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 4) AS score FROM bm")
 def bm25_scores_all(spark, d):
-    return bm25.scores(docs(spark, d), QUERY, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+    return bm25.scores(texts(spark, d), QUERY, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 4) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM bm WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
 def bm25_topk(spark, d):
-    return bm25.search(docs(spark, d), QUERY, 10, "doc_id").select("doc_id", F.round("score", 4).alias("score"), "rank")
+    return bm25.search(texts(spark, d), QUERY, 10, "doc_id").select("doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"WITH {_bm25_sql(query_='search search index')} SELECT doc_id, round(score, 4) AS score FROM bm")
 def bm25_dup_terms(spark, d):
-    return bm25.scores(docs(spark, d), "search search index", "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+    return bm25.scores(texts(spark, d), "search search index", "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
 _BATCH_SQL = ", ".join(f"({i}, '{q}')" for i, q in BATCH)
@@ -126,7 +128,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT query_id::INT AS query_id, doc_id, round(score, 4) AS score, rank::INT AS rank FROM r WHERE rank <= 10"""
 )
 def bm25_batch(spark, d):
-    own = docs(spark, d)
+    own = texts(spark, d)
     asked = spark.createDataFrame(BATCH, "query_id int, query string")
     found = bm25.search_many(bm25.term_frequencies(own, "doc_id"), bm25.document_lengths(own, "doc_id"), asked, 10, "doc_id")
     return found.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
@@ -318,7 +320,7 @@ QUALIFY row_number() OVER (ORDER BY round(f.score, 9) DESC, v DESC, f.doc_id) <=
 def _hybrid(spark: SparkSession, d: str, condition: str | None, k: int, alpha: float = ALPHA) -> DataFrame:
     from plumbline.operators.search import SearchOptions, search
 
-    found = search(docs(spark, d), _vectors(spark, d), probe(spark, d), SearchOptions(k, filter=condition, hybrid=True, hybrid_alpha=alpha, query_text=QUERY), key="doc_id")
+    found = search(texts(spark, d), _vectors(spark, d), probe(spark, d), SearchOptions(k, filter=condition, hybrid=True, hybrid_alpha=alpha, query_text=QUERY), key="doc_id")
     return found.select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -350,7 +352,7 @@ def hybrid_vector_only(spark, d):
 SELECT doc_id, round((score - lo) / greatest(hi - lo, 1e-6), 6) AS scaled FROM bm CROSS JOIN span"""
 )
 def minmax_normalize(spark, d):
-    s = bm25.scores(docs(spark, d), QUERY, "doc_id")
+    s = bm25.scores(texts(spark, d), QUERY, "doc_id")
     span = s.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi")))
     return s.withColumn("_s", span.scalar()).select("doc_id", F.round(hybrid.minmax(F.col("score"), F.col("_s.lo"), F.col("_s.hi")), 6).alias("scaled"))
 
@@ -362,7 +364,7 @@ SELECT doc_id, score FROM near UNION ALL SELECT doc_id, 0.0 FROM best WHERE doc_
 )
 def candidate_union(spark, d):
     near = vectors.top_k(_vectors(spark, d), probe(spark, d), 25, "doc_id").select("doc_id", "score")
-    best = bm25.search(docs(spark, d), QUERY, 25, "doc_id")
+    best = bm25.search(texts(spark, d), QUERY, 25, "doc_id")
     return hybrid.candidates_of(near, best, "doc_id").select("doc_id", "score")
 
 
@@ -372,7 +374,7 @@ def recompute_topk(spark, d):
     from plumbline.operators.search import recompute_search
 
     own = HashingProvider(64)
-    found = recompute_search(docs(spark, d), embed_query(own, QUERY), lambda t: embed_column(own, t), 10, key="doc_id", filter="lang=en")
+    found = recompute_search(texts(spark, d), embed_query(own, QUERY), lambda t: embed_column(own, t), 10, key="doc_id", filter="lang=en")
     return found.select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -431,7 +433,7 @@ _STOP = ", ".join(f"'{x}'" for x in tx.STOPWORDS)
 SELECT w AS term, count(*) AS cnt FROM w WHERE strlen(w) >= 4 AND w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^\\p{{N}}+$') AND NOT ({_CODE_LIKE}) GROUP BY 1 ORDER BY cnt DESC, term LIMIT 50"""
 )
 def key_terms_topn(spark, d):
-    return expansion.top_key_terms(docs(spark, d), 50)
+    return expansion.top_key_terms(texts(spark, d), 50)
 
 
 _W = "[\\p{L}\\p{M}\\p{N}_]"
@@ -440,18 +442,18 @@ _SYMBOLS = " UNION ALL ".join("SELECT unnest(regexp_extract_all(text, '" + p.rep
 
 @query(f"SELECT s AS symbol, count(*) AS cnt FROM ({_SYMBOLS}) WHERE strlen(s) >= 3 AND NOT starts_with(s, 'test_') AND NOT starts_with(s, '_') GROUP BY 1 ORDER BY cnt DESC, symbol LIMIT 100")
 def code_symbols(spark, d):
-    return expansion.top_symbols(table(spark, d, "chunks"), 100)
+    return expansion.top_symbols(table(spark, d, "chunks", "chunk_id"), 100)
 
 
 @query()
 def expand_query(spark, d):
-    rows = [(q, expansion.expand(q, docs(spark, d), "doc_id")) for q in ("vector database", "hybrid search", "a query of more than three words")]
+    rows = [(q, expansion.expand(q, texts(spark, d), "doc_id")) for q in ("vector database", "hybrid search", "a query of more than three words")]
     return spark.createDataFrame(rows, "query string, expanded string")
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> ''))::BIGINT AS n_words FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^ -~\\n\\r\\t]')")
 def query_words(spark, d):
-    own = docs(spark, d).where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^ -~\n\r\t]"))
+    own = texts(spark, d).where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^ -~\n\r\t]"))
     return own.select("doc_id", F.size(tx.query_words("text")).cast("long").alias("n_words"))
 
 
@@ -461,7 +463,7 @@ SELECT w AS word, ({_CODE_LIKE}) AS code_like, strlen(w) >= 4 AND w NOT IN ({_ST
 )
 def word_classes(spark, d):
     """Every distinct word, whether it looks like code, and whether it may become an expansion term."""
-    own = docs(spark, d).select(F.explode(tx.words("text")).alias("word")).distinct()
+    own = texts(spark, d).select(F.explode(tx.words("text")).alias("word")).distinct()
     return own.select("word", tx.looks_like_code("word").alias("code_like"), tx.is_key_term("word").alias("key_term"))
 
 
@@ -471,7 +473,7 @@ def word_classes(spark, d):
 def _chunked(spark: SparkSession, d: str, strategy: str) -> DataFrame:
     from plumbline.operators.chunking import chunk_table
 
-    return chunk_table(docs(spark, d), ["doc_id"], "text", "path", 256, 128, strategy)
+    return chunk_table(texts(spark, d), ["doc_id"], "text", "path", 256, 128, strategy)
 
 
 @query()
@@ -496,7 +498,7 @@ def chunk_stats(spark, d):
     """Texts under the limit are one chunk each."""
     from plumbline.operators.chunking import chunk_table
 
-    own = docs(spark, d).where(F.octet_length("text") <= 1024)
+    own = texts(spark, d).where(F.octet_length("text") <= 1024)
     chunks = chunk_table(own, ["lang", "doc_id"], "text", None, 256, 128, "simple")
     return chunks.groupBy("lang").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"))
 
@@ -603,7 +605,7 @@ def rag_prompt(spark, d):
 def result_lines(spark, d):
     from plumbline.operators.embed import with_prefix
 
-    hits = bm25.search(docs(spark, d), QUERY, 10, "doc_id").join(docs(spark, d), "doc_id")
+    hits = bm25.search(texts(spark, d), QUERY, 10, "doc_id").join(texts(spark, d), "doc_id")
     return hits.select("doc_id", with_prefix(F.substring("text", 1, 40), "passage: ").alias("prefixed"), F.format_string("%.4f", F.round("score", 4)).alias("shown"))
 
 
