@@ -3,15 +3,18 @@
 Every tree splits its rows in halves by random hyperplanes (the difference of two centres that start at two random
 rows and move for a few rounds on a small sample; the threshold is the median). A query's priority at a leaf is the
 smallest signed margin on the path to it. One queue shared by all trees visits the leaves of all trees in the order
-of these priorities, until ``VISITS`` leaves are taken; since a child never has a higher priority than its parent,
-that best-first order is the descending order of the leaves' own priorities, so for a block of queries it is found
-at once as a selection over all leaves. Candidates are then reranked exactly, in double precision.
+of these priorities; since a child never has a higher priority than its parent, that best-first order is the
+descending order of the leaves' own priorities, so for a block of queries it is found at once as a selection over all
+leaves. How many leaves are visited is measured in every shard: for ``TRIALS`` of its queries the true neighbours are
+computed, and the queue goes as far as ``VISIT_RECALL`` of them need. If that is as many leaves as a tree has, one
+tree is visited as a whole, which is exact. Candidates are then reranked exactly, in double precision.
 
 Scale. An index of up to ``SHARD_ROWS`` rows is one task's work: each row is shuffled once. A larger index is routed
-by coarse trees of the same kind, which are fitted on a sample of at most ``SAMPLE_ROWS`` rows in total (the only
-use of a sample; every row is indexed): a row is stored in its shard of each of ``ROUTES`` coarse trees and asks,
-besides these, in ``PROBES`` further shards, again taken from one queue over the coarse trees. A shard that still
-exceeds the limit is dealt out to sub-shards by a hash, and its queries ask in all of them, so no bound drops a row.
+by a coarse tree of the same kind, which is fitted on a sample of at most ``SAMPLE_ROWS`` rows in total (the only use
+of a sample; every row is indexed): a row is stored in its shard and asks there and in the next shards of its queue.
+How many is measured on the sample, so that ``ROUTE_RECALL`` of the true neighbours in it lie in the shards asked; the
+more random the vectors, the more shards that takes, and the more often they are sent. A shard that exceeds twice
+the limit is dealt out to sub-shards by a hash, and its queries ask in all of them, so no bound drops a row.
 Copies: of vectors that agree in all elements more than k + 1 times, the k + 1 smallest ids take part in the search
 and the others get the k smallest ids directly, which is the exact answer with ties going to the smaller id.
 
@@ -29,15 +32,17 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpointed, latest
 
-TREES, LEAF_ROWS, VISITS, EXTRA = 8, 128, 20, 3
-SHARD_ROWS, SAMPLE_ROWS, ROUTES, PROBES = 32_768, 40_000, 2, 1
+TREES, LEAF_ROWS, EXTRA = 8, 512, 3
+TRIALS, VISIT_RECALL = 200, 0.97
+SHARD_ROWS, SAMPLE_ROWS, ROUTE_RECALL, SPREAD = 65_536, 40_000, 0.95, 0.25
 BLOCK = 2_048
 
 
 class Tree:
     """A complete binary tree of hyperplanes in heap order; leaves are numbered from 0."""
 
-    def __init__(self, x: np.ndarray, depth: int, rng: np.random.Generator):
+    def __init__(self, x: np.ndarray, depth: int, rng: np.random.Generator, spread: float = 0.0):
+        """``spread``: how far a half may differ from one half of the rows, to cut between the centres instead."""
         self.depth = depth
         inner = (1 << depth) - 1
         self.normal = np.zeros((inner, x.shape[1]), dtype=np.float32)
@@ -47,9 +52,12 @@ class Tree:
             below = []
             for j, rows in enumerate(parts):
                 node = (1 << level) - 1 + j
-                normal = self._direction(x, rows, rng)
+                normal, middle = self._direction(x, rows, rng)
                 at = x[rows] @ normal
                 half = len(rows) // 2
+                if spread and len(rows):
+                    below_ = int((at < middle).sum())
+                    half = min(max(below_, int((0.5 - spread) * len(rows))), int((0.5 + spread) * len(rows)))
                 order = np.argpartition(at, half) if 0 < half < len(rows) else np.arange(len(rows))
                 self.normal[node] = normal
                 self.threshold[node] = at[order[half]] if len(rows) else 0.0
@@ -58,8 +66,9 @@ class Tree:
         self.leaves = parts
 
     @staticmethod
-    def _direction(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        some = x[rows[rng.integers(0, len(rows), 48)]] if len(rows) else np.zeros((2, x.shape[1]), np.float32)
+    def _direction(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator, sample: int = 48) -> tuple[np.ndarray, float]:
+        """The normal of a hyperplane between two centres, and where their middle lies on it."""
+        some = x[rows[rng.integers(0, len(rows), sample)]] if len(rows) else np.zeros((2, x.shape[1]), np.float32)
         a, b = some[0], some[-1]
         for _ in range(3):
             near = some @ (a - b) > 0.5 * (a @ a - b @ b)
@@ -71,7 +80,8 @@ class Tree:
         if norm < 1e-6:
             normal = rng.standard_normal(x.shape[1]).astype(np.float32)
             norm = np.sqrt(normal @ normal)
-        return (normal / norm).astype(np.float32)
+        normal = (normal / norm).astype(np.float32)
+        return normal, float(0.5 * (a + b) @ normal)
 
     def priorities(self, q: np.ndarray) -> np.ndarray:
         """(queries, leaves): the smallest signed margin on the path to each leaf."""
@@ -97,25 +107,63 @@ def visits(trees: list[Tree], q: np.ndarray, count: int) -> np.ndarray:
     return np.argpartition(-all_, count - 1, axis=1)[:, :count] if count < all_.shape[1] else np.tile(np.arange(count), (len(q), 1))
 
 
+def visits_needed(trees: list[Tree], x: np.ndarray, k: int, seed: int) -> int:
+    """How many leaves the shared queue must yield for VISIT_RECALL of the true neighbours of some rows."""
+    rng = np.random.default_rng(seed)
+    some = rng.choice(len(x), min(TRIALS, len(x)), replace=False)
+    s = x[some] @ x.T
+    s[np.arange(len(some)), some] = -np.inf
+    k = min(k, len(x) - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    queue = np.concatenate([t.priorities(x[some]) for t in trees], axis=1)
+    place = np.argsort(np.argsort(-queue, axis=1, kind="stable"), axis=1)
+    first = np.full(near.shape, queue.shape[1], dtype=np.int64)
+    leaf_of = np.empty(len(x), dtype=np.int64)
+    offset = 0
+    for t in trees:
+        for i, rows in enumerate(t.leaves):
+            leaf_of[rows] = offset + i
+        first = np.minimum(first, np.take_along_axis(place, leaf_of[near], axis=1))
+        offset += len(t.leaves)
+    return int(np.quantile(first, VISIT_RECALL, method="higher")) + 1
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def unit32(x: np.ndarray) -> np.ndarray:
+    out = np.empty(x.shape, dtype=np.float32)
+    for lo in range(0, len(x), 8 * BLOCK):
+        out[lo : lo + 8 * BLOCK] = unit(x[lo : lo + 8 * BLOCK])
+    return out
+
+
+def _cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(queries, candidates), in double precision."""
+    q, x = q.astype(np.float64), x.astype(np.float64)
+    return np.einsum("qd,qmd->qm", q, x) / np.sqrt((q * q).sum(1, keepdims=True) * (x * x).sum(2))
+
+
 def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, neighbour id, similarity): the k best of the rows x for each query, without the query itself."""
     empty = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)
     if not len(x) or not len(q):
         return empty
-    x64, q64 = unit(x), unit(q)
-    x32, q32 = x64.astype(np.float32), q64.astype(np.float32)
+    x32 = unit32(x)
+    q32 = x32 if q is x else unit32(q)
     trees = forest(x32, TREES, LEAF_ROWS, seed)
+    count = visits_needed(trees, x32, k, seed) if len(trees[0].leaves) > 1 else 1
+    if count >= len(trees[0].leaves):
+        trees, count = trees[:1], len(trees[0].leaves)
     leaves = [rows for t in trees for rows in t.leaves]
     keep = k + 1 + EXTRA
+    block = max(BLOCK // 2, 4_000_000 // (count * keep))
     parts = []
-    for lo in range(0, len(q), BLOCK * 8):
-        qs, own = q32[lo : lo + BLOCK * 8], q_ids[lo : lo + BLOCK * 8]
-        chosen = np.concatenate([visits(trees, qs[i : i + BLOCK], VISITS) for i in range(0, len(qs), BLOCK)])
+    for lo in range(0, len(q), block):
+        qs, own = q32[lo : lo + block], q_ids[lo : lo + block]
+        chosen = np.concatenate([visits(trees, qs[i : i + BLOCK], count) for i in range(0, len(qs), BLOCK)])
         n, v = chosen.shape
         found = np.full((n, v, keep), -1, dtype=np.int32)
         score = np.full((n, v, keep), -np.inf, dtype=np.float32)
@@ -142,7 +190,7 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
         m = min(k + EXTRA, found.shape[1])
         best = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < found.shape[1] else np.tile(np.arange(m), (n, 1))
         rows, ok = np.take_along_axis(found, best, 1), np.isfinite(np.take_along_axis(score, best, 1))
-        sim = np.concatenate([np.einsum("qd,qmd->qm", q64[lo + i : lo + i + BLOCK], x64[rows[i : i + BLOCK]]) for i in range(0, n, BLOCK)])
+        sim = np.concatenate([_cosine(q[lo + i : lo + min(i + BLOCK, n)], x[rows[i : i + BLOCK]]) for i in range(0, n, BLOCK)])
         sim = np.where(ok, np.clip(sim, -1.0, 1.0), -np.inf)
         order = np.lexsort((ids[rows], -sim), axis=1)[:, :k]
         rows, sim = np.take_along_axis(rows, order, 1), np.take_along_axis(sim, order, 1)
@@ -175,27 +223,39 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
 
 
-def _routers(rows: DataFrame, counts: dict[str, int]) -> dict[str, list[Tree]]:
-    """Coarse trees of the indexes that are larger than a shard, fitted on a bounded sample of their rows."""
-    total = sum(counts.values())
+def _routers(rows: DataFrame, counts: dict[str, int]) -> dict[str, tuple[Tree, int]]:
+    """(coarse tree, shards to ask) of the indexes that are larger than a shard, from a bounded sample of their rows."""
+    share = min(1.0, 0.9 * SAMPLE_ROWS / sum(counts.values()))
     sample = rows.where(F.col("index_name").isin(list(counts))).select("index_name", "vec_id", "embedding")
-    share = min(1.0, 0.9 * SAMPLE_ROWS / total)
     picked = sample.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE_ROWS).toArrow()
-    names = picked.column("index_name").to_pylist()
+    names = np.array(picked.column("index_name").to_pylist(), dtype=object)
     out = {}
     for name, n in counts.items():
-        at = pa.array([i for i, x in enumerate(names) if x == name], pa.int64())
-        x = unit(_matrix(picked.column("embedding").take(at))).astype(np.float32) if len(at) else np.zeros((0, 1), np.float32)
-        depth = int(np.ceil(np.log2(n / SHARD_ROWS)))
-        depth = max(0, min(depth, int(np.log2(max(1, len(x)) / 8)))) if len(x) >= 16 else 0
-        rng = np.random.default_rng(7)
-        out[name] = [Tree(x, depth, rng) for _ in range(ROUTES if depth else 1)] if depth else []
-        for t in out[name]:
-            t.leaves = []
+        at = np.flatnonzero(names == name)
+        if len(at) < 16:
+            continue
+        x = unit32(_matrix(picked.column("embedding").take(pa.array(at))))
+        depth = min(int(np.ceil(np.log2(n / SHARD_ROWS))), int(np.log2(len(x) / 8)))
+        if depth > 0:
+            tree = Tree(x, depth, np.random.default_rng(7), SPREAD)
+            out[name] = tree, _shards_to_ask(tree, x)
+            tree.leaves = []
     return out
 
 
-def _route(rows: DataFrame, routers: dict[str, list[Tree]]) -> DataFrame:
+def _shards_to_ask(tree: Tree, x: np.ndarray, k: int = 5, queries: int = 500) -> int:
+    """The first shards of a query's queue that hold ROUTE_RECALL of its nearest rows in the sample."""
+    q = x[:queries]
+    s = q @ x.T
+    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(k, len(x) - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    home = np.concatenate([tree.priorities(x[i : i + BLOCK]).argmax(1) for i in range(0, len(x), BLOCK)])
+    place = np.argsort(np.argsort(-tree.priorities(q), axis=1), axis=1)  # of each shard in the queue
+    return int(np.quantile(np.take_along_axis(place, home[near], axis=1), ROUTE_RECALL, method="higher")) + 1
+
+
+def _route(rows: DataFrame, routers: dict[str, tuple[Tree, int]]) -> DataFrame:
     """A row per shard in which a vector is stored or asks."""
     schema = "index_name string, vec_id bigint, embedding array<float>, shard int, stored boolean"
 
@@ -205,21 +265,13 @@ def _route(rows: DataFrame, routers: dict[str, list[Tree]]) -> DataFrame:
             for name in set(index):
                 at = np.flatnonzero(index == name)
                 part = batch.take(pa.array(at))
-                trees = routers.get(name)
-                if not trees:
+                if name not in routers:
                     yield _routed(part, np.arange(len(at)), np.zeros(len(at), np.int32), np.ones(len(at), bool))
                     continue
-                x = unit(_matrix(part.column(2))).astype(np.float32)
-                pr = np.concatenate([t.priorities(x) for t in trees], axis=1)
-                width = pr.shape[1] // len(trees)
-                homes = np.stack([pr[:, i * width : (i + 1) * width].argmax(1) + i * width for i in range(len(trees))], axis=1)
-                rest = pr.copy()
-                np.put_along_axis(rest, homes, -np.inf, axis=1)
-                more = min(PROBES, pr.shape[1] - len(trees))
-                extra = np.argpartition(-rest, more - 1, axis=1)[:, :more] if more else np.zeros((len(at), 0), np.int64)
-                shards = np.concatenate([homes, extra], axis=1)
-                stored = np.tile(np.arange(shards.shape[1]) < len(trees), (len(at), 1))
-                yield _routed(part, np.repeat(np.arange(len(at)), shards.shape[1]), shards.ravel().astype(np.int32), stored.ravel())
+                tree, asked = routers[name]
+                order = np.argsort(-tree.priorities(unit32(_matrix(part.column(2)))), axis=1, kind="stable")[:, :asked]
+                stored = np.tile(np.arange(order.shape[1]) == 0, (len(at), 1))
+                yield _routed(part, np.repeat(np.arange(len(at)), order.shape[1]), order.ravel().astype(np.int32), stored.ravel())
 
     return rows.select("index_name", "vec_id", "embedding").mapInArrow(route, schema)
 
@@ -250,7 +302,7 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
     big = vectors.groupBy("index_name").count().where(F.col("count") > SHARD_ROWS).where("index_name is not null").collect()  # at most total / SHARD_ROWS rows
     counts = {r["index_name"]: r["count"] for r in big}
     routers = _routers(_fitting(vectors, meta), counts) if counts else {}
-    if any(routers.values()):
+    if routers:
         routed = _route(rows, routers)
     else:
         routed = rows.select("index_name", "vec_id", "embedding", F.lit(0).alias("shard"), F.lit(True).alias("stored"))
@@ -270,7 +322,8 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
     def one(t: pa.Table) -> pa.Table:
         x, ids = _matrix(t.column("embedding")), t.column("vec_id").to_numpy()
         stored = t.column("stored").to_numpy(zero_copy_only=False).astype(bool)
-        a, b, s = search(x[stored], ids[stored], x, ids, k)
+        own = (x, ids) if stored.all() else (x[stored], ids[stored])
+        a, b, s = search(*own, x, ids, k)
         return pa.table({"vec_id": a, "neighbor_id": b, "similarity": s})
 
     pairs = routed.groupBy("index_name", "shard", "part").applyInArrow(one, "vec_id bigint, neighbor_id bigint, similarity double")

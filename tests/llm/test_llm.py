@@ -76,6 +76,8 @@ def test_forest_reaches_the_recall(spark):
     got = {(p, q) for p, q in zip(a.tolist(), b.tolist())}
     assert sum((i, j) in got for i in range(6000) for j in best[i].tolist()) / 30000 >= 0.9
     assert np.allclose(s, sim[a, b], atol=1e-9)
+    tree = knn.Tree(u.astype(np.float32), 4, rng, knn.SPREAD)
+    assert 1 <= knn._shards_to_ask(tree, u.astype(np.float32)) <= 16
 
 
 def _vectors(spark, rows):
