@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.ids import checkpointed
+from plumbline.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
-    """A table. With ``by``, one that comes in fewer splits than there are cores is spread over the cores by that key.
-
-    Only small tables come in so few splits; for them the exchange is cheap against the work on their texts.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if by and df.rdd.getNumPartitions() < cores else df
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests, notebooks) a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-    return df.checkpoint()
+__all__ = ["checkpointed", "latest", "table"]
 
 
 def latest(df: DataFrame, keys: list[str], arrived: str, *payload: str) -> DataFrame:

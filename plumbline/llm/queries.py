@@ -61,6 +61,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(p2_nearest(spark, d))
 
 
+SQL["p2_found"] = """
+WITH arrivals AS (SELECT vec_id, arg_max({'i': index_name, 'e': embedding}, ingested_at) AS r FROM vectors GROUP BY vec_id),
+v AS (
+  SELECT vec_id, r.i AS index_name, r.e::DOUBLE[] AS e, sqrt(list_dot_product(r.e::DOUBLE[], r.e::DOUBLE[])) AS norm
+  FROM arrivals JOIN index_meta m ON m.index_name = r.i
+  WHERE len(r.e) = m.dimensions AND len(list_filter(r.e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(r.e, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) / (a.norm * b.norm) AS cosine
+  FROM v a JOIN v b ON a.index_name = b.index_name AND a.vec_id <> b.vec_id),
+near AS (SELECT a, b, cosine FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM near WHERE cosine >= 0.85"""
+
+
 # 3. Files nobody wrote by hand here -----------------------------------------------------------------------------
 
 
