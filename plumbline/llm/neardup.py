@@ -60,16 +60,16 @@ def minhashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def half_keys(m: np.ndarray) -> np.ndarray:
-    """(sets, TABLES) 64-bit keys from HALF minhashes each; the number of the table is part of the key."""
+    """(sets, TABLES) 32-bit keys from HALF minhashes each."""
     parts = m.reshape(len(m), TABLES, HALF).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts.shape[:2]).copy()
+    key = np.full(parts.shape[:2], 0x9E3779B97F4A7C15, dtype=np.uint64)
     for j in range(HALF):
         key = (key ^ parts[:, :, j]) * np.uint64(0xBF58476D1CE4E5B9)
         key ^= key >> np.uint64(29)
-    return key
+    return (key >> np.uint64(32)).astype(np.uint32)
 
 
-_SIGNED = "chunk_id bigint, ingested_at timestamp, same bigint, same2 bigint, size int, a array<bigint>, b binary"
+_SIGNED = "chunk_id bigint, ingested_at timestamp, same bigint, same2 bigint, size int, a array<int>, b binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +95,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(keep)
             if n:
                 m = minhashes(v, st)
-                a = half_keys(m[:, : TABLES * HALF]).view(np.int64)
+                a = half_keys(m[:, : TABLES * HALF]).view(np.int32)
                 b = (m[:, TABLES * HALF :] & 0xFF).astype(np.uint8)
                 same = np.add.reduceat(v * np.uint64(0x94D049BB133111EB), st).view(np.int64)
                 same2 = np.bitwise_xor.reduceat(v ^ (v >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93), st).view(np.int64)
             else:
-                a, b, same, same2 = np.zeros((0, TABLES), np.int64), np.zeros((0, TABLES * HALF), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                a, b, same, same2 = np.zeros((0, TABLES), np.int32), np.zeros((0, TABLES * HALF), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TABLES), pa.array(a.ravel()))
             sizes = np.diff(np.append(st, len(v))).astype(np.int32) if n else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +209,8 @@ def class_links(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = checkpointed(signatures(chunks))
     classes = checkpointed(signed.groupBy("same", "same2").agg(F.min(F.struct("chunk_id", "size", "a", "b")).alias("r")))  # used three times
     reps = classes.select(F.col("r.chunk_id").alias("rep"), "r.size", "r.a", "r.b")
-    keyed = _divided(reps.select("rep", "size", "b", F.explode("a").alias("bucket")))
+    keyed = reps.select("rep", "size", "b", F.posexplode("a").alias("i", "key")).select("rep", "size", "b", F.xxhash64("i", "key").alias("bucket"))
+    keyed = _divided(keyed)
     placed = keyed.repartition("bucket").sortWithinPartitions("bucket")
     found = placed.select("bucket", "rep", "size", "b").mapInArrow(_candidates, "a bigint, b bigint").distinct()
     found = checkpointed(found)
