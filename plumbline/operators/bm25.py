@@ -90,7 +90,7 @@ def scores(docs: DataFrame, query: str, key: str, text: str = "text", materializ
 
 def search(docs: DataFrame, query: str, k: int, key: str, text: str = "text") -> DataFrame:
     """(key, score, rank) of the k best documents with a positive score, ties by key."""
-    best = scores(docs, query, key, text).where("score > 0").orderBy(F.desc(F.round("score", 9)), key).limit(k)
+    best = scores(docs, query, key, text, materialize=True).where("score > 0").orderBy(F.desc(F.round("score", 9)), key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), key)))
 
 
