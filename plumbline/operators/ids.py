@@ -16,14 +16,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
-    """Adds a BIGINT that counts from start in the order of the columns.
+def counted(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Adds a BIGINT that counts the rows in the order of partitions and of rows in them.
 
-    Rows are range-partitioned and sorted; the number of rows of each partition (as many rows as partitions) gives
-    the offsets, so no task sees more than its own range.
+    The number of rows of each partition (as many rows as partitions) gives the offsets.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = parts.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     placed = checkpointed(placed)
     sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
     offset, offsets = start, []
@@ -34,3 +32,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 1)
         return placed.drop("_part", "_row").withColumn(name, F.lit(None).cast("long"))
     firsts = F.create_map(*[F.lit(x).cast("long") for kv in offsets for x in kv])
     return placed.withColumn(name, firsts[F.col("_part").cast("long")] + F.col("_row")).drop("_part", "_row")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
+    """Adds a BIGINT that counts from start in the order of the columns.
+
+    Rows are range-partitioned and sorted, so no task sees more than its own range.
+    """
+    return counted(df.repartitionByRange(*order).sortWithinPartitions(*order), name, start)

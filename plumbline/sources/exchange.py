@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.ids import counted
+
 PASSAGE = "id string, text string, metadata string"
 
 
@@ -29,9 +31,8 @@ def write_passages(passages: DataFrame, path: str) -> None:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """ordinal (from 0), id: line numbers are positions in the index."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("ordinal", "id"))
-    return rows.select(F.col("ordinal").cast("long"), "id")
+    """ordinal (from 0), id of one file: line numbers are positions in the index."""
+    return counted(spark.read.text(path).select(F.col("value").alias("id")), "ordinal").select("ordinal", "id")
 
 
 def read_matrix(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
