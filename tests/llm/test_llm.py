@@ -264,3 +264,29 @@ def test_spam_pages(spark):
     got = {r.doc_id for r in spam.score_pages(spark.createDataFrame(rows, DOC)).where("is_spam").collect()}
     assert got == {100, 101, 102}
     assert spam.score_pages(spark.createDataFrame([], DOC)).count() == 0
+
+
+# very long texts
+
+
+LONG = {
+    "words": "alpha beta gamma delta. " * 60_000,
+    "line": "x" * 1_500_000,
+    "open tags": "<a [url ' \" ` " * 100_000,
+    "code": "var a=b.c(d,'e');if(f){g=h}" * 50_000,
+    "letters": "é語a " * 300_000,
+}
+
+
+@pytest.mark.parametrize("kind", list(LONG))
+def test_long_texts(kind):
+    text = LONG[kind]
+    pieces = split.cut_text(text, 1024, 128)
+    assert pieces[-1][1] == len(text.encode()) and all(b - a <= 1024 for a, b, _ in pieces)
+    assert len(handwritten.measure(text)[0]) == len(handwritten.SUMS)
+    assert len(neardup.word_set(text)) < 20
+    model = secrets.train([], np.zeros((256, 256)))
+    found = secrets.candidates(text)
+    assert not found or len(model.scores(found, "a.py")) == len(found)
+    pmi = np.zeros((spam.CLASSES, spam.CLASSES), dtype=np.float32)
+    assert 0 <= spam.judge(text, pmi, {}, {})[0] <= 1
