@@ -19,7 +19,6 @@ empty tables give no rows. Ties are broken by doc_id and piece number.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
