@@ -4,7 +4,8 @@ Exact search of one query is a projection and a bounded top k (no exchange of th
 answered in blocks: the query matrix is small by contract (``MAX_QUERIES`` rows are checked), is sent to the workers
 once, and every Arrow batch gives the k best rows of each query, so at most queries × k rows a batch are exchanged.
 The approximate index is an inverted file: centroids fitted on a bounded sample, every vector assigned to the
-nearest one, and a query reads only the partitions of its nearest centroids.
+nearest one, and a query reads only the partitions of its nearest centroids. How many these must be is measured on
+that sample against brute force when the centroids are fitted.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from plumbline.functions.vector import dot, literal
 
 MAX_QUERIES = 10_000
 FIT_ROWS = 50_000
+PROBE_TRIALS, PROBE_RECALL = 200, 0.95
+PROBE_DEPTHS = (10, 100)  # numbers of results for which the lists to probe are measured
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: str = "embedding", digits: int | None = 9) -> DataFrame:
@@ -38,8 +42,11 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, taken.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
 
 
-def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str = "query_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
-    """(query_key, key, score, rank) for each row of queries (query_key, embedding)."""
+def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str = "query_id", vector: str = "embedding", digits: int = 9, index: InvertedFile | None = None, complexity: int = 64) -> DataFrame:
+    """(query_key, key, score, rank) for each row of queries (query_key, embedding).
+
+    With ``index``, vectors are its lists, and each query is compared only with those of its nearest centroids.
+    """
     asked = queries.select(query_key, F.col("embedding").cast("array<double>").alias("q")).limit(MAX_QUERIES + 1).collect()
     if len(asked) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries: split them into blocks")
@@ -48,24 +55,33 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_k
         return vectors.select(F.lit(None).cast("long").alias(query_key), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     names = np.array([r[query_key] for r in asked])
     matrix = np.array([r["q"] for r in asked], dtype=np.float64)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+    probed = index.probed(matrix, k, complexity) if index else None
+    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix, probed))
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *vectors.schema.fields]}
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked_, q = shared.value
+        every, q, probed_ = shared.value
         for batch in batches:
             rows, x = _matrix(batch.column(1), q.shape[1])
             if not len(rows):
                 continue
-            for lo in range(0, len(q), 256):
-                s = np.round(q[lo : lo + 256] @ x.T, digits)
-                m = min(k, len(rows))
-                # ties at the edge of the k best: all that equal the k-th are kept for the global ranking
-                edge = np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-                who, which = np.nonzero(-s <= edge)
-                yield pa.RecordBatch.from_arrays([pa.array(asked_[lo + who]), batch.column(0).take(pa.array(rows[which])), pa.array(s[who, which])], names=[query_key, key, "score"])
-
-    found = vectors.select(key, vector).mapInArrow(best, f"{query_key} {types[query_key]}, {key} {types[key]}, score double")
+            near = batch.column(2).to_numpy(zero_copy_only=False)[rows] if probed_ is not None else np.zeros(len(rows), dtype=np.int32)
+            for c in np.unique(near):
+                own = np.flatnonzero(near == c)
+                asking = np.flatnonzero(probed_[:, c]) if probed_ is not None else np.arange(len(q))
+                for lo in range(0, len(asking), 256):
+                    some = asking[lo : lo + 256]
+                    s = np.round(q[some] @ x[own].T, digits)
+                    m = min(k, len(own))
+                    # ties at the edge of the k best: all that equal the k-th are kept for the global ranking
+                    edge = np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
+                    who, which = np.nonzero(-s <= edge)
+                    yield pa.RecordBatch.from_arrays([pa.array(every[some[who]]), batch.column(0).take(pa.array(rows[own[which]])), pa.array(s[who, which])], names=[query_key, key, "score"])
+
+    read = [key, vector]
+    if index:
+        vectors, read = vectors.where(F.col("centroid").isin([int(c) for c in np.flatnonzero(probed.any(0))])), [*read, "centroid"]
+    found = vectors.select(*read).mapInArrow(best, f"{query_key} {types[query_key]}, {key} {types[key]}, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= k)
 
@@ -73,11 +89,13 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_k
 class InvertedFile:
     """An approximate index: centroids, and the vectors with the number of their centroid.
 
-    ``complexity`` (64 by default, as in the build and search commands) sets how many centroids a query probes.
+    ``needed`` has the lists that must be probed for ``PROBE_RECALL`` of the true neighbours, by the number of results;
+    without it (an index saved by an earlier version) all are. ``complexity`` (64 by default, as in the build and
+    search commands) asks for a share of the lists and can only add to them.
     """
 
-    def __init__(self, centroids: np.ndarray, assigned: DataFrame, key: str, vector: str):
-        self.centroids, self.assigned, self.key, self.vector = centroids, assigned, key, vector
+    def __init__(self, centroids: np.ndarray, assigned: DataFrame, key: str, vector: str, needed: dict[int, int] | None = None):
+        self.centroids, self.assigned, self.key, self.vector, self.needed = centroids, assigned, key, vector, needed or {}
 
     @classmethod
     def build(cls, vectors: DataFrame, key: str, vector: str = "embedding", lists: int = 32, seed: int = 7) -> InvertedFile:
@@ -88,8 +106,9 @@ class InvertedFile:
         picked = usable.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).select(vector).limit(FIT_ROWS).toArrow()
         column = picked.column(0).combine_chunks()
         width = len(column[0]) if len(column) else 1
-        centroids = _k_means(_matrix(column, width)[1], lists, seed)
-        return cls(centroids, cls._assign(usable, centroids, key, vector), key, vector)
+        x = _matrix(column, width)[1]
+        centroids = _k_means(x, lists, seed)
+        return cls(centroids, cls._assign(usable, centroids, key, vector), key, vector, {k: _lists_needed(centroids, x, k, seed) for k in PROBE_DEPTHS})
 
     @classmethod
     def build_with(cls, centroids: np.ndarray, vectors: DataFrame, key: str, vector: str = "embedding") -> InvertedFile:
@@ -113,7 +132,7 @@ class InvertedFile:
 
     def add(self, more: DataFrame) -> InvertedFile:
         """Appends vectors to the lists of the existing centroids."""
-        return InvertedFile(self.centroids, self.assigned.unionByName(self._assign(more, self.centroids, self.key, self.vector)), self.key, self.vector)
+        return InvertedFile(self.centroids, self.assigned.unionByName(self._assign(more, self.centroids, self.key, self.vector)), self.key, self.vector, self.needed)
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
         """Writes the lists, one partition per centroid, and the centroids beside them. ``append`` keeps the latter."""
@@ -121,23 +140,54 @@ class InvertedFile:
         if mode != "append":
             rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
             self.assigned.sparkSession.createDataFrame(rows, "centroid int, center array<double>").coalesce(1).write.mode(mode).parquet(f"{path}/centroids")
+            self.assigned.sparkSession.createDataFrame(list(self.needed.items()), "results int, lists int").coalesce(1).write.mode(mode).parquet(f"{path}/needed")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, key: str, vector: str = "embedding") -> InvertedFile:
         centers = spark.read.parquet(f"{path}/centroids").orderBy("centroid").collect()  # as many rows as lists
-        return cls(np.array([r["center"] for r in centers]), spark.read.parquet(f"{path}/lists"), key, vector)
-
-    def probes(self, query: Sequence[float], complexity: int = 64) -> list[int]:
-        """Numbers of the centroids nearest to the query; complexity 64 probes a quarter of the lists."""
-        count = max(1, min(len(self.centroids), round(len(self.centroids) * complexity / 256)))
-        c = self.centroids
-        near = c @ np.asarray(query, dtype=np.float64) - 0.5 * (c * c).sum(1)  # as vectors are assigned
-        return [int(i) for i in np.argsort(-near, kind="stable")[:count]]
+        try:
+            needed = {r["results"]: r["lists"] for r in spark.read.parquet(f"{path}/needed").collect()}
+        except AnalysisException:
+            needed = {}
+        return cls(np.array([r["center"] for r in centers]), spark.read.parquet(f"{path}/lists"), key, vector, needed)
+
+    def probed(self, queries: np.ndarray, k: int, complexity: int = 64) -> np.ndarray:
+        """queries × lists: whether the query probes the list. Results beyond the measured depths need all lists."""
+        lists = len(self.centroids)
+        least = next((self.needed[d] for d in sorted(self.needed) if k <= d), lists)
+        count = max(1, min(lists, max(least, round(lists * complexity / 256))))
+        order = np.argsort(-_nearness(queries, self.centroids), axis=1, kind="stable")[:, :count]
+        out = np.zeros((len(queries), lists), dtype=bool)
+        np.put_along_axis(out, order, True, axis=1)
+        return out
 
     def search(self, query: Sequence[float], k: int, complexity: int = 64) -> DataFrame:
-        """(key, score, distance, rank): at least k lists' worth of candidates, ranked exactly."""
-        near = self.assigned.where(F.col("centroid").isin(self.probes(query, max(complexity, k))))
-        return top_k(near, query, k, self.key, self.vector)
+        """(key, score, distance, rank): the vectors of the probed lists, ranked exactly."""
+        lists = np.flatnonzero(self.probed(np.asarray([query], dtype=np.float64), k, complexity)[0])
+        return top_k(self.assigned.where(F.col("centroid").isin([int(c) for c in lists])), query, k, self.key, self.vector)
+
+    def search_many(self, queries: DataFrame, k: int, complexity: int = 64, query_key: str = "query_id") -> DataFrame:
+        """(query_key, key, score, rank) for each row of queries (query_key, embedding)."""
+        return top_k_many(self.assigned, queries, k, self.key, query_key, self.vector, index=self, complexity=complexity)
+
+
+def _nearness(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Rows × centroids: the higher, the nearer."""
+    return x @ centroids.T - 0.5 * (centroids * centroids).sum(1)
+
+
+def _lists_needed(centroids: np.ndarray, x: np.ndarray, k: int, seed: int) -> int:
+    """How many of its nearest lists some rows must probe for PROBE_RECALL of their k best other rows."""
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(centroids)
+    some = np.random.default_rng(seed).choice(len(x), min(PROBE_TRIALS, len(x)), replace=False)
+    s = x[some] @ x.T
+    s[np.arange(len(some)), some] = -np.inf
+    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    near = _nearness(x, centroids).argmax(1)
+    place = np.argsort(np.argsort(-_nearness(x[some], centroids), axis=1, kind="stable"), axis=1)
+    return int(np.quantile(np.take_along_axis(place, near[best], axis=1), PROBE_RECALL, method="higher")) + 1
 
 
 def _k_means(x: np.ndarray, lists: int, seed: int, rounds: int = 12) -> np.ndarray:

@@ -190,3 +190,19 @@ def test_search_filters_before_or_after_ranking(spark):
     fused = search(own, emb, [1.0, 0.0], SearchOptions(5, hybrid=True, query_text="text 7", filter="lang=de")).orderBy("rank").collect()
     assert all(0 <= r.score <= 1 for r in fused) and [r["rank"] for r in fused] == [1, 2, 3, 4, 5]
     assert search(own.limit(0), emb, [1.0, 0.0], SearchOptions(5, hybrid=True, query_text="text", filter="lang=de")).count() == 0
+
+
+def test_inverted_file_probes_what_the_recall_needs(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 32))  # no clusters: a quarter of the lists isn't enough
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<float>")
+    vectors.InvertedFile.build(own, "id", lists=16).save(str(tmp_path / "ivf"))
+    index = vectors.InvertedFile.load(spark, str(tmp_path / "ivf"), "id")
+    asked = own.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    for k in (10, 100):
+        got = {(r.query_id, r.id) for r in index.search_many(asked, k).collect()}
+        best = {(q, int(i)) for q in range(0, 1500, 50) for i in np.argsort(-(x @ x[q]))[:k]}
+        assert len(got & best) >= 0.9 * len(best)
+    one = {r.id for r in index.search(x[50].tolist(), 10).collect()}
+    assert one == {i for q, i in {(r.query_id, r.id) for r in index.search_many(asked, 10).collect()} if q == 50}
