@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ITEMS = 30_000
 LEAST_SCORE = 0.5
-LEAST_LENGTH = 6
+LEAST_LENGTH, MOST_LENGTH = 6, 8000
 
 #: Words of names that hold secrets, of names that hold none, and of names about secrets.
 SECRET_WORDS = frozenset(
@@ -48,7 +48,9 @@ PLAIN_KEYS = frozenset("cache primary foreign sort partition public object map d
 SKIPPED_NAMES = frozenset("str string char const value is to set here as static final let var pub private export uint8_t byte bytes text content data default the name key literal".split())
 
 NAME = r"[A-Za-z_$][\w.$-]*"
-QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\n\\]){6,8000}?)\1""")
+QUOTE = re.compile(r"""["'`]""")
+QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\n\\])*+)\1""")
+APOSTROPHE = re.compile(r"(?<=\w)(?<!\b[bBrRfFuUnNeExX])(?<!\b(?:[rR][bB]|[bB][rR]|[fF][rR]|[rR][fF]))'(?=\w)")
 MORE = re.compile(r"""[ \t]*(?:\+|\.|,|\\)?[ \t]*(?:\r?\n[ \t]*(?:[+.\\][ \t]*)?)?(["'`])((?:\\.|(?!\1)[^\n\\]){4,8000}?)\1""")
 BARE = re.compile(rf"^[ \t]*(?:[#;*/-]+[ \t]*)?(?:export[ \t]+|set[ \t]+)?({NAME})[ \t]*[=:][ \t]*([^\s\"'`<>(){{}}\[\],;]{{6,8000}})[ \t]*(?:[#;].*)?\r?$", re.M)
 TAGGED = re.compile(rf"<({NAME})>([^<>\s]{{6,8000}})</")
@@ -111,6 +113,21 @@ def secret_name(name: str) -> bool:
     return own[-1:] == ["key"] and not PLAIN_KEYS & set(own)
 
 
+def literals(text: str) -> Iterator[re.Match[str]]:
+    """Literals of any length, so that no closing quote is taken for an opening one. They end in their line."""
+    at, open_until = 0, {}
+    while q := QUOTE.search(text, at):
+        at = q.end()
+        if q.start() < open_until.get(q[0], 0) or q[0] == "'" and APOSTROPHE.match(text, q.start()):
+            continue
+        if m := QUOTED.match(text, q.start()):
+            yield m
+            at = m.end()
+        else:  # unclosed: nor is any later one of its kind in the line
+            end = text.find("\n", at)
+            open_until[q[0]] = len(text) if end < 0 else end
+
+
 def candidates(text: str) -> list[Candidate]:
     """Places that may disclose a credential, in order and without overlap."""
     out: list[Candidate] = []
@@ -135,8 +152,10 @@ def candidates(text: str) -> list[Candidate]:
         add(m.start(g), m.end(g), "command", "password", m[g])
     for m in KNOWN.finditer(text):
         add(m.start(), m.end(), "known", _name_before(text, m.start()), m[0])
-    for m in QUOTED.finditer(text):
+    for m in literals(text):
         value, end, last = m[2], m.end(2), m.end()
+        if not LEAST_LENGTH <= len(value) <= MOST_LENGTH:
+            continue
         if " " in value and not secret_name(_name_before(text, m.start())):
             continue
         while more := MORE.match(text, last):

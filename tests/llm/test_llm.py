@@ -249,6 +249,26 @@ def test_shares_copies_and_missing_sources(spark):
     assert empty.count() == 0 and mix.share_report(empty, q).count() == 4
 
 
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ('login("bob", password="S3cret-hunter2")', "S3cret-hunter2"),
+        ("Client('eu', api_key='9f8a7b6c5d4e3f2a1b0c')", "9f8a7b6c5d4e3f2a1b0c"),
+        ('<property name="token" value="k3J9xQ27Lm0Zp4"/>', "k3J9xQ27Lm0Zp4"),
+        ('f("", "' + "y " * 5000 + '", password="S3cret-hunter2")', "S3cret-hunter2"),
+        ("it's so: password = 'S3cret-hunter2'", "S3cret-hunter2"),
+        ("token(b'9f8a7b6c5d4e3f2a1b0c')", "9f8a7b6c5d4e3f2a1b0c"),
+        ('an open " quote\npassword = "S3cret-hunter2"', "S3cret-hunter2"),
+    ],
+)
+def test_short_and_long_literals_keep_the_pairing(text, secret):
+    assert [c.value for c in secrets.candidates(text)] == [secret]
+
+
+def test_escaped_quotes_take_linear_time():
+    assert secrets.candidates('"' + '\\"' * 200_000) == []
+
+
 # spam pages
 
 
