@@ -279,6 +279,25 @@ def test_stream(spark, tmp_path):
     assert append.read_appended(spark, target).count() == first
 
 
+def _documents(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_chunk_stats_cut_long_texts(spark, tmp_path):
+    import __spark_entry__ as e
+
+    cases = [(1, "short", "en"), (2, "word " * 1000, "en"), (3, "ein Wört " * 700, "de"), (4, None, "de"), (5, "", None)]
+    d = _documents(spark, tmp_path, [(i, t, lang, "s") for i, t, lang in cases])
+    expected = {}
+    for _, t, lang in cases:
+        if t is not None:
+            n, docs = expected.get(lang, (0, 0))
+            expected[lang] = (n + len(chunking.simple_chunks(t, 256, 128)), docs + 1)
+    got = {r.lang: (r.chunks, r.docs) for r in e.queries()["chunk_stats"](spark, d).collect()}
+    assert got == expected and got["en"][0] > 2
+
+
 def test_registered_queries_have_oracles():
     import __spark_entry__ as e
 
