@@ -59,7 +59,8 @@ def words(text: str | Column) -> Column:
 
 
 def query_words(text: str | Column) -> Column:
-    return F.filter(F.split(F.trim(_c(text)), r"\s+"), lambda w: w != "")
+    """Runs without Unicode white space."""
+    return F.filter(F.split(_c(text), r"\p{IsWhite_Space}+"), lambda w: w != "")
 
 
 def is_short_query(text: str | Column) -> Column:

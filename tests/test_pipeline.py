@@ -298,6 +298,15 @@ def test_chunk_stats_cut_long_texts(spark, tmp_path):
     assert got == expected and got["en"][0] > 2
 
 
+def test_query_words_split_at_unicode_white_space(spark, tmp_path):
+    import __spark_entry__ as e
+
+    cases = [(i, f"{c}één{c}{c}zwei{c}") for i, c in enumerate(chunking.SPACES)] + [(100, "a\x1cb\u200bc\ufeffd"), (101, "語 é\u3000x y"), (102, " \u2003"), (103, "")]
+    d = _documents(spark, tmp_path, [(i, t, "en", "s") for i, t in cases] + [(104, None, "en", "s")])
+    got = {r.doc_id: r.n_words for r in e.queries()["query_words"](spark, d).collect()}
+    assert got == {i: len([w for w in chunking.SPACE.split(t) if w]) for i, t in cases} and got[0] == 2 and got[100] == 1
+
+
 def test_registered_queries_have_oracles():
     import __spark_entry__ as e
 
