@@ -307,6 +307,15 @@ def test_query_words_split_at_unicode_white_space(spark, tmp_path):
     assert got == {i: len([w for w in chunking.SPACE.split(t) if w]) for i, t in cases} and got[0] == 2 and got[100] == 1
 
 
+def test_passage_lookup_joins_every_vector(spark, tmp_path):
+    import __spark_entry__ as e
+
+    d = _documents(spark, tmp_path, [(i, "é" * i, "en", "s") for i in range(1, 8)])
+    spark.createDataFrame([(i, f"l{i}") for i in range(5)], "vec_id bigint, label string").write.parquet(f"{d}/embeddings.parquet")
+    got = {tuple(r) for r in e.queries()["passage_lookup"](spark, d).collect()}
+    assert got == {(i, f"l{i}", "en", i) for i in range(1, 5)}
+
+
 def test_registered_queries_have_oracles():
     import __spark_entry__ as e
 
