@@ -10,7 +10,8 @@ of letters and digits, those of addresses included) stand in spam stretches.
 Counts cover all documents. The words are put into ``CLASSES`` classes: each of the ``FREQUENT`` most frequent
 words is a class of its own, all others share hashed classes, so the table of pair counts has CLASSES² cells at
 most, whatever the corpus: 4.2 million, 17 MB as 32-bit floats. That bound is what allows it to be broadcast.
-Pages with that many different function words that they must be mostly sentences are not cut into stretches.
+In a page with so many different function words that it must be mostly sentences, a stretch is no spam for chance
+neighbours alone: it must be one of links, prices, tags or repeated collocations.
 
 Defined cases: null, empty and wordless texts are no spam; copies count each; a doc_id that comes twice counts
 once; empty tables give no rows. Texts are read whole.
@@ -174,10 +175,11 @@ def judge(text: str, pmi: np.ndarray, frequent: dict[str, int], known: dict[str,
     function = Counter(filter(FUNCTION_WORDS.__contains__, every))
     classes = _classes(every, frequent, known)
     mean = float(pmi[classes[:-1], classes[1:]].mean()) if len(classes) > 1 else 0.0
-    if function.total() - sum(n for _, n in function.most_common(3)) > PROSE * len(every):
-        return 0.0, mean, 0.0
+    prose = function.total() - sum(n for _, n in function.most_common(3)) > PROSE * len(every)
     pairs = Counter(zip(every, every[1:]))
-    spam = total = repeated = 0
+    collocated = pmi[classes[:-1], classes[1:]] >= COLLOCATED
+    repeated = sum(1 for p, c in zip(zip(every, every[1:]), collocated) if c and pairs[p] >= REPEATED)
+    spam = total = 0
     after = False  # whether the stretch follows a sentence of its line
     for stretch in STRETCH.split(text):
         n = len(RUN.findall(stretch)) if stretch else 0
@@ -200,8 +202,7 @@ def judge(text: str, pmi: np.ndarray, frequent: dict[str, int], known: dict[str,
         c = _classes(own, frequent, known)
         value = pmi[c[:-1], c[1:]]
         again = sum(1 for p, v in zip(zip(own, own[1:]), value) if v >= COLLOCATED and pairs[p] >= REPEATED)
-        repeated += again
-        if linked or priced or tagged or len(own) < 2 or again > 0.2 * len(value) or value.mean() < INCOHERENT:
+        if linked or priced or tagged or again > 0.2 * len(value) or not prose and (len(own) < 2 or value.mean() < INCOHERENT):
             spam += n
     return spam / max(1, total), mean, repeated / max(1, len(every) - 1)
 

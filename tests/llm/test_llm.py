@@ -286,6 +286,19 @@ def test_spam_pages(spark):
     assert spam.score_pages(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_pages_of_many_function_words_are_measured(spark):
+    prose = "When we came to the old bridge, they had not yet told us why it was closed or who would open it for you."
+    links = "\n".join(f"cheap offer {w} - http://{w}.example/{i}" for i, w in enumerate(["river", "table", "window", "garden"] * 12))
+    tail = " ".join(f"how to {v} cheap running shoes where to {v} cheap running shoes best cheap running shoes for you" for v in ["buy", "find", "get"] * 12)
+    rows = [(i, prose, "en", "s", "") for i in range(40)] + [(100, "\n".join([prose] * 12) + "\n" + links, "en", "s", ""), (101, tail, "en", "s", ""), (102, tail, "en", "s", ""), (103, "\n".join([prose] * 4), "en", "s", "")]
+    got = {r.doc_id: r for r in spam.score_pages(spark.createDataFrame(rows, DOC)).collect()}
+    every = spam.words(rows[40][1])
+    function = [w for w in every if w in spam.FUNCTION_WORDS]
+    assert len(function) - sum(sorted(map(function.count, set(function)))[-3:]) > spam.PROSE * len(every)
+    assert got[100].spam_share > 0.4 and got[101].is_spam and got[102].is_spam
+    assert got[101].repeated_share > 0 and not got[103].is_spam and not got[0].is_spam
+
+
 # very long texts
 
 
