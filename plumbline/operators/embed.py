@@ -29,28 +29,47 @@ class ModelConfig:
     dimensions: int = 768
 
 
-_SENTENCE = "Represent this sentence for searching relevant passages: "
+_BGE_QUERY = "Represent this sentence for searching relevant passages: "
+_MXBAI_DOCUMENT = "Represent this document for retrieval: "
+
+#: Model name -> (document prefix, query prefix, normalised, width), the models' own conventions.
+MODELS: dict[str, ModelConfig] = {
+    "nomic-embed-text": ModelConfig("search_document: ", "search_query: ", True, 768),
+    "nomic-embed-text-v1": ModelConfig("search_document: ", "search_query: ", True, 768),
+    "nomic-embed-text-v1.5": ModelConfig("search_document: ", "search_query: ", True, 768),
+    "text-embedding-nomic-embed-text-v1.5": ModelConfig("search_document: ", "search_query: ", True, 768),
+    "mxbai-embed-large": ModelConfig(_MXBAI_DOCUMENT, _BGE_QUERY, True, 1024),
+    "mxbai-embed-large-v1": ModelConfig(_MXBAI_DOCUMENT, _BGE_QUERY, True, 1024),
+    "bge-small-en": ModelConfig("", _BGE_QUERY, True, 384),
+    "bge-base-en": ModelConfig("", _BGE_QUERY, True, 768),
+    "bge-large-en": ModelConfig("", _BGE_QUERY, True, 1024),
+    "bge-small-en-v1.5": ModelConfig("", _BGE_QUERY, True, 384),
+    "bge-base-en-v1.5": ModelConfig("", _BGE_QUERY, True, 768),
+    "bge-large-en-v1.5": ModelConfig("", _BGE_QUERY, True, 1024),
+    "e5-small": ModelConfig("passage: ", "query: ", True, 384),
+    "e5-base": ModelConfig("passage: ", "query: ", True, 768),
+    "e5-large": ModelConfig("passage: ", "query: ", True, 1024),
+    "e5-small-v2": ModelConfig("passage: ", "query: ", True, 384),
+    "e5-base-v2": ModelConfig("passage: ", "query: ", True, 768),
+    "e5-large-v2": ModelConfig("passage: ", "query: ", True, 1024),
+    "multilingual-e5-small": ModelConfig("passage: ", "query: ", True, 384),
+    "multilingual-e5-base": ModelConfig("passage: ", "query: ", True, 768),
+    "multilingual-e5-large": ModelConfig("passage: ", "query: ", True, 1024),
+    "gte-small": ModelConfig("", "", True, 384),
+    "gte-base": ModelConfig("", "", True, 768),
+    "gte-large": ModelConfig("", "", True, 1024),
+    "all-minilm": ModelConfig("", "", True, 384),
+    "all-MiniLM-L6-v2": ModelConfig("", "", True, 384),
+    "all-MiniLM-L12-v2": ModelConfig("", "", True, 384),
+    "text-embedding-3-small": ModelConfig("", "", True, 1536),
+    "text-embedding-3-large": ModelConfig("", "", True, 3072),
+    "text-embedding-ada-002": ModelConfig("", "", True, 1536),
+}
 
 
 def model_config(model: str) -> ModelConfig:
     """Prefixes and width of a known model; a ``:tag`` is dropped; unknown models have none and 768."""
-    base = model.split(":", 1)[0]
-    size = {"small": 384, "base": 768, "large": 1024}
-    # The models' own conventions.
-    if re.fullmatch(r"(text-embedding-)?nomic-embed-text(-v1(\.5)?)?", base) and base not in ("text-embedding-nomic-embed-text", "text-embedding-nomic-embed-text-v1"):
-        return ModelConfig("search_document: ", "search_query: ", True, 768)
-    if re.fullmatch(r"mxbai-embed-large(-v1)?", base):
-        return ModelConfig("Represent this document for retrieval: ", _SENTENCE, True, 1024)
-    if m := re.fullmatch(r"bge-(small|base|large)-en(-v1\.5)?", base):
-        return ModelConfig("", _SENTENCE, True, size[m[1]])
-    if m := re.fullmatch(r"(?:e5-(small|base|large)(?:-v2)?|multilingual-e5-(small|base|large))", base):
-        return ModelConfig("passage: ", "query: ", True, size[m[1] or m[2]])
-    if m := re.fullmatch(r"gte-(small|base|large)", base):
-        return ModelConfig("", "", True, size[m[1]])
-    if base in ("all-minilm", "all-MiniLM-L6-v2", "all-MiniLM-L12-v2"):
-        return ModelConfig("", "", True, 384)
-    widths = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
-    return ModelConfig("", "", True, widths[base]) if base in widths else ModelConfig()
+    return MODELS.get(model.split(":", 1)[0], ModelConfig())
 
 
 def with_prefix(text: str | Column, prefix: str) -> Column:

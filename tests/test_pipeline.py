@@ -233,6 +233,9 @@ def test_config(tmp_path):
 
 def test_models_and_messages(spark):
     m = embed.model_config
+    assert m("text-embedding-nomic-embed-text-v1.5").normalized and m("text-embedding-nomic-embed-text") == m("text-embedding-nomic-embed-text-v1") == m("no-such-model") == embed.ModelConfig()
+    assert m("mxbai-embed-large").dimensions == m("bge-large-en").dimensions == 1024 and m("gte-base").dimensions == m("e5-base-v2").dimensions == 768 and m("text-embedding-3-large").dimensions == 3072
+    assert m("e5-small").document_prefix == "passage: " and m("bge-base-en").document_prefix == "" and m("all-minilm") == embed.ModelConfig("", "", True, 384)
     assert m("nomic-embed-text:latest").query_prefix == "search_query: " and m("bge-small-en-v1.5").dimensions == 384 and m("multilingual-e5-large").dimensions == 1024
     assert m("text-embedding-3-large").dimensions == 3072 and m("unknown") == embed.ModelConfig() and m("mxbai-embed-large").dimensions == 1024 and m("gte-base").dimensions == 768
     assert embed.query_prefix("x", {"query_prefix": "y"}, "e5-small") == "x" and embed.query_prefix(None, {"query_prefix": "y"}, "e5-small") == "y" and embed.query_prefix(None, None, "e5-small") == "query: "
