@@ -292,13 +292,47 @@ def test_pages_of_many_function_words_are_measured(spark):
     tail = " ".join(f"how to {v} cheap running shoes where to {v} cheap running shoes best cheap running shoes for you" for v in ["buy", "find", "get"] * 12)
     rows = [(i, prose, "en", "s", "") for i in range(40)] + [(100, "\n".join([prose] * 12) + "\n" + links, "en", "s", ""), (101, tail, "en", "s", ""), (102, tail, "en", "s", ""), (103, "\n".join([prose] * 4), "en", "s", "")]
     got = {r.doc_id: r for r in spam.score_pages(spark.createDataFrame(rows, DOC)).collect()}
-    every = spam.words(rows[40][1])
-    function = [w for w in every if w in spam.FUNCTION_WORDS]
-    assert len(function) - sum(sorted(map(function.count, set(function)))[-3:]) > spam.PROSE * len(every)
     assert got[100].spam_share > 0.4 and got[101].is_spam and got[102].is_spam
     assert got[101].repeated_share > 0 and not got[103].is_spam and not got[0].is_spam
 
 
+def _shares(spark, texts):
+    rows = [(i, t, "en", "s", "") for i, t in enumerate(texts)]
+    return {r.doc_id: r for r in spam.score_pages(spark.createDataFrame(rows, DOC)).collect()}
+
+
+def test_long_link_tags_separators_and_spaced_letters(spark):
+    prose = "When we came to the old bridge, they had not yet told us why it was closed or who would open it for you."
+    tag = '<a href="http://x.example/' + "q" * 600 + '">offer</a>'
+    assert spam.LINK.sub(" ", tag).split() == ["offer"]
+    assert spam.words("S.e.o - s e o, b.e.s.t") == ["seo", "seo", "best"] and spam.words("a b") == ["a", "b"]
+    keywords = " · ".join(["log viewer", "s.e.o", "l o g", "log-viewer", "seo service"] * 9)
+    got = _shares(spark, [prose] * 20 + [tag * 9, keywords, "word (12)  page (7)  font (3)  depot (9)  lane (1)", "a_b = 3  # note of it\n" * 9, "| `a_b` | 3 | four five |\n" * 9])
+    assert {i for i, r in got.items() if r.is_spam} == {20, 21, 22}
+
+
+def test_pmi_is_exact_and_leaves_out_the_page_and_its_copies(spark):
+    texts = ["red fox ran home", "a red fox sat", "red fox", "lone pair here", "lone pair here"]
+    got = _shares(spark, texts)
+    # "red fox" comes twice in other texts; words: 4 + 4 + 2 + 3 (a copy counts once)
+    expected = np.log(2 * 13 / (3 * 3)) * 2 / 3 * 3 / 4
+    assert got[2].mean_pmi == pytest.approx(expected) and got[0].mean_pmi == pytest.approx(expected / 3)
+    assert got[3].mean_pmi == got[4].mean_pmi == 0
+
+
+def test_blocks_and_crowded_texts_give_the_same(spark, monkeypatch):
+    from plumbline.llm import common
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["river", "table", "the", "of", "window", "garden"], k=30)) for _ in range(60)] + ["buy now, buy now, buy now"] * 40
+    whole = _shares(spark, texts)
+    monkeypatch.setattr(spam, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(common, "CROWD", 30)
+    divided = _shares(spark, texts)
+    assert {i: (r.spam_share, r.is_spam) for i, r in divided.items()} == {i: (r.spam_share, r.is_spam) for i, r in whole.items()}
+    assert all(divided[i].mean_pmi == pytest.approx(r.mean_pmi) for i, r in whole.items())
+
+
 # very long texts
 
 
@@ -321,5 +355,5 @@ def test_long_texts(kind):
     model = secrets.train([], np.zeros((256, 256)))
     found = secrets.candidates(text)
     assert not found or len(model.scores(found, "a.py")) == len(found)
-    pmi = np.zeros((spam.CLASSES, spam.CLASSES), dtype=np.float32)
-    assert 0 <= spam.judge(text, pmi, {}, {})[0] <= 1
+    page = spam.page(text)
+    assert sum(page.sizes) == len(page.words) and len(page.runs) == len(page.excused) == len(page.sizes)
