@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpointed, join_crowded
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: The mean PMI under which a stretch is incoherent, and the most that one pair adds.
 INCOHERENT, MOST = 1.3, 3.0
 REPEATED = 3  # a pair that occurs so often in a page is repeated
@@ -69,9 +69,14 @@ REMARK = re.compile(r"\s#\s.*")
 CODE_LINE = re.compile(r"^\s*(?:import|from|use|package|require|require_relative|include|def|class|fn|pub|func|return|const|let|var|end|else|if|for|while|raise|throw|type|struct|\$|//|#include|```)\b|^\s{4,}\S|[;{}]\s*$|^\t")
 
 
+def _joined(text: str) -> str:
+    """The text with letters that are set apart ("k e y", "k.e.y") joined."""
+    return SPACED.sub(lambda m: m[0].replace(".", "").replace(" ", ""), text)
+
+
 def words(text: str) -> list[str]:
-    """Lower-cased words; letters that are set apart ("k e y", "k.e.y") make one."""
-    return WORD.findall(SPACED.sub(lambda m: m[0].replace(".", "").replace(" ", ""), text.lower()))
+    """Lower-cased words; letters that are set apart make one."""
+    return WORD.findall(_joined(text).lower())
 
 
 def _structured(bare: str) -> bool:
@@ -118,12 +123,13 @@ class Page(NamedTuple):
 def page(text: str) -> Page:
     parts = []
     pairs: Counter[tuple[str, str]] = Counter()
+    spaced = SPACED.search(text) is not None
     for stretch in STRETCH.split(text):
         n = len(RUN.findall(stretch))
         if not n:
             continue
-        bare = LINK.sub(" ", stretch)
-        own = words(bare)
+        bare = LINK.sub(" ", stretch) if "/" in stretch or "<" in stretch or "[" in stretch or "www." in stretch else stretch
+        own = words(bare) if spaced else WORD.findall(bare.lower())
         parts.append((bare, n, n - len(RUN.findall(bare)) if bare != stretch else 0, own))
         pairs.update(zip(own, own[1:]))
     excused = [_sentence(own, pairs, 3 if linked > len(own) else 1) or _structured(bare) for bare, _, linked, own in parts]
