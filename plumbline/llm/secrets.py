@@ -1,11 +1,13 @@
 """Problem 5: credentials in texts of chunks and contents of code blocks, and the texts with them masked.
 
-1. Candidates: literal values with the name they are given to (assignments in any of the languages, attributes,
-   tags, prose that sets a value), values in command lines, addresses and headers, and private key blocks.
+1. Candidates: every literal of ``LEAST_LENGTH`` characters or more, of any length, with the name it is given to,
+   if it has one (assignments in any of the languages, attributes, tags, prose that sets a value), values in command
+   lines, addresses and headers, and private key blocks. None is ruled out before it is scored.
 2. Features: the likelihood of the characters under a Markov chain whose transitions are counted over all texts,
    shape and classes of the characters, words of the surrounding identifiers, the kind of place, and the path.
-3. A logistic regression is fitted to weak labels: patterns of known key formats, addresses with a password and
-   private keys are positive; placeholders, references, checksums, ids, plain addresses and prose are negative.
+3. A logistic regression is fitted to weak labels: patterns of known key formats, addresses with a password,
+   private keys and mixed values given to a name that ends in a word for secrets are positive; placeholders,
+   references, checksums, ids, plain addresses, prose and words are negative.
    Other candidates have no label and take no part in the fit. The sample it is fitted on has at most
    ``SAMPLE_ITEMS`` items; the Markov chain, the candidates and the scores cover all texts.
 4. The scores are calibrated on held-out weak labels (Platt scaling); candidates at or above ``LEAST_SCORE`` are
@@ -14,6 +16,8 @@
 
 Defined cases: null and empty texts have no credentials; null or broken metadata gives no path features; of a
 repeated item only the latest arrival counts; lines end at \\n only; empty tables give no rows. Texts are read whole.
+Without weak labels of both kinds nothing can be learnt: then only the places that hold nothing but credentials count
+(private keys, addresses, headers, command lines), if their value is no placeholder, reference or mask.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ import binascii
 import json
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +40,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_ITEMS = 30_000
 LEAST_SCORE = 0.5
-LEAST_LENGTH, MOST_LENGTH = 6, 8000
+LEAST_CELL = 20  # patterns with fewer rows weigh less
+LEAST_LENGTH = 4
 
 #: Words of names that hold secrets, of names that hold none, and of names about secrets.
 SECRET_WORDS = frozenset(
@@ -47,23 +54,25 @@ SECRET_NAME = re.compile(r"(?:api|access|secret|auth|signing|private|encryption|
 PLAIN_KEYS = frozenset("cache primary foreign sort partition public object map dict row index group shard".split())
 SKIPPED_NAMES = frozenset("str string char const value is to set here as static final let var pub private export uint8_t byte bytes text content data default the name key literal".split())
 
+IDENTIFIER = re.compile(r"[A-Za-z_$][\w$-]*")
+NAME_PART = re.compile(r"[\w$-]")
 NAME = r"[A-Za-z_$][\w.$-]*"
 QUOTE = re.compile(r"""["'`]""")
 QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\n\\])*+)\1""")
 APOSTROPHE = re.compile(r"(?<=\w)(?<!\b[bBrRfFuUnNeExX])(?<!\b(?:[rR][bB]|[bB][rR]|[fF][rR]|[rR][fF]))'(?=\w)")
-MORE = re.compile(r"""[ \t]*(?:\+|\.|,|\\)?[ \t]*(?:\r?\n[ \t]*(?:[+.\\][ \t]*)?)?(["'`])((?:\\.|(?!\1)[^\n\\]){4,8000}?)\1""")
-BARE = re.compile(rf"^[ \t]*(?:[#;*/-]+[ \t]*)?(?:export[ \t]+|set[ \t]+)?({NAME})[ \t]*[=:][ \t]*([^\s\"'`<>(){{}}\[\],;]{{6,8000}})[ \t]*(?:[#;].*)?\r?$", re.M)
-TAGGED = re.compile(rf"<({NAME})>([^<>\s]{{6,8000}})</")
+MORE = re.compile(r"""[ \t]*(?:\+|\.|,|\\)?[ \t]*(?:\r?\n[ \t]*(?:[+.\\][ \t]*)?)?(["'`])((?:\\.|(?!\1)[^\n\\]){4,}?)\1""")
+BARE = re.compile(rf"^[ \t]*(?:[#;*/-]+[ \t]*)?(?:export[ \t]+|set[ \t]+)?({NAME})[ \t]*[=:][ \t]*([^\s\"'`<>(){{}}\[\],;]{{4,}})[ \t]*(?:[#;].*)?\r?$", re.M)
+TAGGED = re.compile(rf"<({NAME})>([^<>\s]{{4,}})</")
 USERINFO = re.compile(r"\b([A-Za-z][A-Za-z0-9+.-]*)://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@[\w.-]")
 SCHEME = re.compile(r"\b(Basic|Bearer|Token)[ \t]+([A-Za-z0-9._~+/=:*!#$%^&@?-]{8,})")
 PRIVATE = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 COMMAND = re.compile(
-    r"(?:--?(?:pass(?:word|wd|phrase)?|token|secret|api-?key)[= ]|(?:mysql|mysqldump|mariadb|sshpass)\b[^\n]*?\s-p)[\"']?([^\s\"'`]{6,})"
+    r"(?:--?(?:pass(?:word|wd|phrase)?|token|secret|api-?key)[= ]|(?:mysql|mysqldump|mariadb|sshpass)\b[^\n]*?\s-p)[\"']?([^\s\"'`]{4,})"
     r"|\s(?:-u|--user)[= ][\"']?[^\s:\"']+:([^\s\"'`]{4,})"
     r"|(?i:identified by|with password)\s+['\"]([^'\"\n]{4,})['\"]"
-    r"|(?i:\blog-?in\b|\bcredentials?\b)[^:\n]{0,60}:[ \t]*[^\s/]+[ \t]*/[ \t]*([^\s\"'`]{6,})"
-    r"|(?i:\(|, |\buser \S+[, ]+)(?i:pass|password|pwd|pw|passwort|kennwort)[ :=]+([^\s),;\"'`]{6,})"
+    r"|(?i:\blog-?in\b|\bcredentials?\b)[^:\n]{0,60}:[ \t]*[^\s/]+[ \t]*/[ \t]*([^\s\"'`]{4,})"
+    r"|(?i:\(|, |\buser \S+[, ]+)(?i:pass|password|pwd|pw|passwort|kennwort)[ :=]+([^\s),;\"'`]{4,})"
 )
 #: Formats of keys that their issuers document.
 KNOWN = re.compile(
@@ -76,6 +85,7 @@ HOLDER = re.compile(
     r"(?i)(?:^|[\W_])(?:your|my)[\W_]|change[\W_]?(?:me|this|it)|replace[\W_]?(?:me|this|with)|(?:^|[\W_])(?:todo|fixme|tbd|placeholder|dummy|redacted)(?:$|[\W_])|(?:^|[\W_])(?:insert|enter|put)[\W_]|goes[\W_]?here|fill[\W_]?in|not[\W_]?set"
     r"|^(?:none|null|nil|test|n/a|unset|removed|hidden|example|sample)$|(?:example|sample|fake|dummy)[\W_]?(?:key|secret|token|password|value)|(?:key|secret|token|password)[\W_]?(?:example|here)"
 )
+BLOB = re.compile(r"^[A-Za-z0-9+/]{64,}={0,2}$")
 UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 HEX = re.compile(r"^[0-9a-fA-F]+$")
 SETTINGS = re.compile(r"\.(?:env|ini|ya?ml|toml|properties|conf|cfg|json|xml|local|sh|tf)$")
@@ -84,6 +94,12 @@ PATH = re.compile(r"^(?:[a-z0-9_.@~-]*/)+[\w.@-]*$|^[a-z][a-z0-9-]*(?:\.[a-z][a-
 URL = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://")
 
 
+#: Words that values consist of which are names about secrets.
+META_WORDS = SECRET_WORDS | {"api", "key", "field", "smtp", "root", "db", "client"}
+#: Kinds of places that hold nothing but credentials.
+PLACES = ("private", "userinfo", "basic", "scheme", "command")
+
+
 class Candidate(NamedTuple):
     start: int
     end: int  # of the value; of a private key start is that of its first marker, end that of its body
@@ -93,24 +109,44 @@ class Candidate(NamedTuple):
 
 
 def _name_before(text: str, at: int) -> str:
-    prefix = text[max(text.rfind("\n", 0, at) + 1, at - 120) : at]
-    found = re.findall(r"[A-Za-z_$][\w$-]*", prefix)
-    for n in reversed(found[-5:]):
-        if n.lower() not in SKIPPED_NAMES:
-            return n
-    return ""
+    """The last name of the line before a place, however far it is; words of declarations don't count."""
+    line = text.rfind("\n", 0, at) + 1
+    width = 120
+    while True:
+        begin = max(line, at - width)
+        names = IDENTIFIER.findall(text, begin, at)
+        if begin > line and names and IDENTIFIER.match(text, begin) and NAME_PART.match(text, begin - 1):
+            names = names[1:]  # cut by the window
+        for n in reversed(names):
+            if n.lower() not in SKIPPED_NAMES:
+                return n
+        if begin == line:
+            return ""
+        width *= 4
 
 
 def subwords(name: str) -> list[str]:
     return [w.lower() for w in SUBWORD.findall(name)]
 
 
-def secret_name(name: str) -> bool:
+@lru_cache(1 << 16)
+def name_kind(name: str) -> tuple[bool, bool, bool]:
+    """(ends in a word for secrets, has one, has a word of names that hold none).
+
+    What a name means is said by its last word: a password field or a token limit is no secret.
+    """
     own = subwords(name)
+    while len(own) > 1 and own[-1].isdigit():
+        own.pop()
     joined = "".join(own)
-    if any(w in SECRET_WORDS for w in own) or SECRET_NAME.search(joined):
-        return True
-    return own[-1:] == ["key"] and not PLAIN_KEYS & set(own)
+    key = own[-1:] == ["key"] and not PLAIN_KEYS & set(own)
+    head = own[-1:] != [] and own[-1] in SECRET_WORDS or SECRET_NAME.search(joined) is not None or key
+    return head, head or not SECRET_WORDS.isdisjoint(own), not PLAIN_WORDS.isdisjoint(own)
+
+
+def secret_name(name: str) -> bool:
+    """Whether a word of the name is one for secrets."""
+    return name_kind(name)[1]
 
 
 def literals(text: str) -> Iterator[re.Match[str]]:
@@ -131,17 +167,18 @@ def literals(text: str) -> Iterator[re.Match[str]]:
 def candidates(text: str) -> list[Candidate]:
     """Places that may disclose a credential, in order and without overlap."""
     out: list[Candidate] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted, without overlap
 
     def add(a: int, b: int, kind: str, name: str, value: str) -> None:
-        if not any(a < y and x < b for x, y in taken):
-            taken.append((a, b))
+        at = bisect(taken, (a, b))
+        if not (at and taken[at - 1][1] > a or at < len(taken) and taken[at][0] < b):
+            taken.insert(at, (a, b))
             out.append(Candidate(a, b, kind, name, value))
 
     if "PRIVATE KEY" in text:
         for m in PRIVATE.finditer(text):
             end = PRIVATE_END.search(text, m.end())
-            add(m.start(), end.start() if end else len(text), "private", "private_key", text[m.end() : end.start() if end else len(text)][:4000])
+            add(m.start(), end.start() if end else len(text), "private", "private_key", text[m.end() : end.start() if end else len(text)])
     if "://" in text:
         for m in USERINFO.finditer(text):
             add(m.start(3), m.end(3), "userinfo", _name_before(text, m.start()), m[3])
@@ -154,97 +191,82 @@ def candidates(text: str) -> list[Candidate]:
         add(m.start(), m.end(), "known", _name_before(text, m.start()), m[0])
     for m in literals(text):
         value, end, last = m[2], m.end(2), m.end()
-        if not LEAST_LENGTH <= len(value) <= MOST_LENGTH:
-            continue
-        if " " in value and not secret_name(_name_before(text, m.start())):
+        if len(value) < LEAST_LENGTH:
             continue
         while more := MORE.match(text, last):
             if re.fullmatch(r"[ \t]*,[ \t]*", text[last : more.start(1)]) and not text[: m.start()].endswith("concat!("):
                 break
             value, end, last = value + more[2], more.end(2), more.end()
-        name = _name_before(text, m.start())
-        if _plausible(value, name):
-            add(m.start(2), end, "quoted", name, value)
+        add(m.start(2), end, "quoted", _name_before(text, m.start()), value)
     for rx, kind in ((BARE, "bare"), (TAGGED, "tagged")):
         for m in rx.finditer(text):
-            if _plausible(m[2], m[1]):
-                add(m.start(2), m.end(2), kind, m[1], m[2])
+            add(m.start(2), m.end(2), kind, m[1], m[2])
     return sorted(out)
 
 
-def _plausible(value: str, name: str) -> bool:
-    """Cheap reasons by which a value can't be a credential: too short, a number, or a word under another name."""
-    if len(value) < LEAST_LENGTH or value.replace(".", "").isdigit():
-        return False
-    if secret_name(name):
-        return True
-    return len(value) >= 16 and " " not in value and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+def _about_secrets(value: str) -> bool:
+    """Whether a value is itself only a name about secrets."""
+    shown = subwords(value)
+    return bool(shown) and set(shown) <= META_WORDS
+
 
+def _address(value: str) -> bool:
+    return value.startswith(("/", "./", "data:", "ssh-", "sha256-", "sha384-", "sha512-")) or URL.match(value) is not None or PATH.match(value) is not None
 
-def weak_label(c: Candidate) -> int | None:
-    """1: a known format; 0: known to be none; None: unknown."""
+
+def weak_label(c: Candidate) -> tuple[int, int] | None:
+    """(1: a credential or 0: none, number of the pattern that says so); None: unknown."""
     v = c.value
-    if REFERENCE.search(v) or MASKED.search(v) or HOLDER.search(v):
-        return 0
-    if c.kind == "private":
-        return 1
-    if c.kind == "userinfo":
-        return 1
+    for no, holder in enumerate((REFERENCE, MASKED, HOLDER)):
+        if holder.search(v):
+            return 0, no
+    if c.kind in ("private", "userinfo"):
+        return 1, 3
     if c.kind == "basic":
         try:
-            return 1 if b":" in base64.b64decode(v + "=" * (-len(v) % 4), validate=True) else None
+            return (1, 4) if b":" in base64.b64decode(v + "=" * (-len(v) % 4), validate=True) else None
         except (binascii.Error, ValueError):
             return None
     if KNOWN.fullmatch(v):
-        return 1
-    own = set(subwords(c.name))
-    if v.startswith(("data:", "ssh-", "sha256-", "sha384-", "sha512-")) or URL.match(v) or PATH.match(v):
-        return 0
-    if len(v) > 200 and not secret_name(c.name):
-        return 0
-    if c.kind in ("quoted", "bare", "tagged"):
-        if not secret_name(c.name) and own & PLAIN_WORDS:
-            return 0
-        if v.count(" ") >= 2 or subwords(v) and set(subwords(v)) <= SECRET_WORDS | {"api", "key", "field", "smtp", "root", "db", "client"}:
-            return 0
+        return 1, 5
+    if c.kind not in ("quoted", "bare", "tagged"):
+        return None
+    head, any_, plain = name_kind(c.name)
+    if _address(v) or _about_secrets(v):
+        return 0, 6
+    if v.count(" ") >= 2 or not any_ and (" " in v or v.isalpha()):
+        return 0, 7
+    if not any_ and (plain or HEX.match(v) or UUID.match(v) or BLOB.match(v)):
+        return 0, 8 if HEX.match(v) or UUID.match(v) else 9 if BLOB.match(v) else 10
+    if head and len(v) >= 8 and " " not in v and any(ch.isdigit() for ch in v) and any(ch.isalpha() for ch in v):
+        return 1, 11
     return None
 
 
 def features(c: Candidate, source: str, chain: np.ndarray) -> list[float]:
     """The numbers a candidate is judged by; which format a value has is not among them."""
-    v = c.value[:4000]
+    v = c.value
     raw = np.frombuffer(v.encode("utf-8", "replace"), dtype=np.uint8)
     likely = float(chain[raw[:-1], raw[1:]].mean()) if len(raw) > 1 else -3.0
     n = max(1, len(v))
-    counts = Counter(v)
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    digits = sum(ch.isdigit() for ch in v) / n
-    upper = sum(ch.isupper() for ch in v) / n
-    lower = sum(ch.islower() for ch in v) / n
-    symbols = 1.0 - digits - upper - lower
-    own = subwords(c.name)
-    secret = secret_name(c.name)
-    plain = any(w in PLAIN_WORDS for w in own)
-    about = bool(own) and own[-1] in ("field", "name", "label", "column", "header", "param", "type", "file", "path", "id", "url", "prefix", "length", "count")
-    reference, masked, holder = bool(REFERENCE.search(v)), bool(MASKED.search(v)), bool(HOLDER.search(v))
-    shown = subwords(v)
-    meta = bool(shown) and set(shown) <= SECRET_WORDS | {"api", "key", "field", "smtp", "root", "db", "client"}
-    address = bool(URL.match(v) or PATH.match(v)) or v.startswith(("/", "./", "data:", "ssh-", "sha256-", "sha384-", "sha512-"))
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(v).values())
+    digits = sum(map(str.isdigit, v)) / n
+    upper = sum(map(str.isupper, v)) / n
+    lower = sum(map(str.islower, v)) / n
+    head, any_, plain = name_kind(c.name)
     path = source.lower()
-    place = c.kind in ("private", "userinfo", "basic", "scheme", "command")
     return [
-        1.0, likely, entropy, math.log(n), digits, upper, lower, symbols,
-        float(likely < -3.6), float(entropy > 3.5 and n >= 16), float(n < 8), float(" " in v),
+        1.0, likely, entropy, math.log(n), digits, upper, lower, 1.0 - digits - upper - lower,
+        float(likely < -3.6), float(entropy > 3.5 and n >= 16), float(n < 8), min(v.count(" "), 5.0),
         float(bool(HEX.match(v))), float(bool(UUID.match(v))), float(v.isalpha()), float(digits > 0 and upper + lower > 0),
-        float(secret and not about), float(plain and not secret), float(not secret and not plain), float(about),
-        float(reference), float(masked), float(holder), float(meta), float(address), float(n > 200),
-        float(place), float(place and not (reference or masked or holder)), float(secret and not about and not (reference or masked or holder or meta or address)),
-        float(c.kind == "bare"), float(c.kind == "bare" and not SETTINGS.search(path) and (v.replace("_", "").replace(".", "").isalpha())),
+        float(head), float(any_ and not head), float(plain), float(not any_ and not plain),
+        float(bool(REFERENCE.search(v))), float(bool(MASKED.search(v))), float(bool(HOLDER.search(v))), float(_about_secrets(v)), float(_address(v)), float(n > 200),
+        float(c.kind in PLACES), float(c.kind == "bare"), float(c.kind == "bare" and not SETTINGS.search(path)),
         float(bool(SETTINGS.search(path))), float("/test" in path or "fixture" in path), float(path.endswith((".md", ".rst", ".txt")) or "/docs/" in path),
     ]
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 40) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, rounds: int = 40) -> np.ndarray:
     """Coefficients of an L2-penalised logistic regression by Newton steps."""
     beta = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1]) * penalty * weight.sum()
@@ -274,25 +296,32 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
 
 
-def train(rows: list[tuple[int, list[float]]], chain: np.ndarray) -> Model:
-    """rows: (weak label, features). A fifth is held out for calibration. Classes weigh the same."""
+def train(rows: list[tuple[int, int, list[float]]], chain: np.ndarray) -> Model:
+    """rows: (weak label, pattern, features). A fifth is held out for calibration.
+
+    Both labels weigh the same, and so do the patterns of a label, each apart for names of secrets and for others,
+    so the many plain literals don't drown the few placeholders.
+    """
     width = len(features(Candidate(0, 6, "quoted", "x", "abcdef"), "", chain))
-    if not rows or len({y for y, _ in rows}) < 2:  # nothing to learn from: only weak evidence of the place and name
+    if len({r[0] for r in rows}) < 2:  # nothing to learn from
         beta = np.zeros(width)
-        beta[0], beta[27], beta[28], beta[20:25] = -1.0, 4.0, 4.0, -4.0
+        beta[0], beta[20:23], beta[26] = -2.0, -4.0, 4.0
         return Model(chain, np.zeros(width), np.ones(width), beta, 1.0, 0.0)
     y = np.array([r[0] for r in rows], dtype=float)
-    x = np.array([r[1] for r in rows])
+    x = np.array([r[2] for r in rows])
+    cell = 2 * np.array([r[1] for r in rows]) + (x[:, 16] + x[:, 17] > 0)
+    weight = 1.0 / np.maximum(np.bincount(cell), LEAST_CELL)[cell]
+    for label in (0.0, 1.0):
+        weight[y == label] *= 0.5 * len(y) / weight[y == label].sum()
     mean, spread = x.mean(0), x.std(0)
     mean[0], spread[spread < 1e-9] = 0.0, 1.0
     x = (x - mean) / spread
     x[:, 0] = 1.0
     spread[0] = 1.0
     held = np.arange(len(y)) % 5 == 0
-    balance = lambda t: np.where(t > 0, 0.5 / max(t.mean(), 1e-6), 0.5 / max(1 - t.mean(), 1e-6))
-    beta = fit(x[~held], y[~held], balance(y[~held]))
+    beta = fit(x[~held], y[~held], weight[~held])
     z = x[held] @ beta
-    platt = fit(np.stack([np.ones_like(z), z], 1), y[held], balance(y[held]), penalty=1e-2) if len(set(y[held])) > 1 else np.array([0.0, 1.0])
+    platt = fit(np.stack([np.ones_like(z), z], 1), y[held], weight[held], penalty=1e-2) if len(set(y[held])) > 1 else np.array([0.0, 1.0])
     return Model(chain, mean, spread, beta, float(max(platt[1], 0.1)), float(platt[0]))
 
 
@@ -344,10 +373,10 @@ def learn(items: DataFrame) -> Model:
                     if (y := weak_label(c)) is not None:
                         ys.append(y)
                         xs.append(features(c, _source(meta), chain))
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([y[k] for y in ys], pa.int32()) for k in range(2)), pa.array(xs, pa.list_(pa.float64()))], names=["y", "pattern", "x"])
 
-    table = picked.select("text", "meta").mapInArrow(label, "y int, x array<double>").toArrow()
-    rows = sorted(zip(table.column("y").to_pylist(), table.column("x").to_pylist()))
+    table = picked.select("text", "meta").mapInArrow(label, "y int, pattern int, x array<double>").toArrow()
+    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("y", "pattern", "x"))))
     return train(rows, chain)
 
 

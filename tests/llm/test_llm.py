@@ -195,6 +195,8 @@ def test_credentials_are_found(spark):
     assert got == {("chunk", i, 2) for i in range(40)} | {("chunk", 200, 2), ("block", 7, 1)}
     texts = {(r.item_kind, r.item_id): r.text for r in secrets.redact(items).collect()}
     assert texts["block", 7] == 'u = "ftp://joe:*********@host/p"'
+    before = {("chunk", r[0]): r[3] for r in rows if r[0] < 100}
+    assert all(len(texts[k]) == len(t) and [a for a, b in zip(t, texts[k]) if b != "*"] == [a for a in texts[k] if a != "*"] for k, t in before.items())
     assert secrets.find(items.limit(0)).count() == 0
 
 
@@ -262,7 +264,35 @@ def test_shares_copies_and_missing_sources(spark):
     ],
 )
 def test_short_and_long_literals_keep_the_pairing(text, secret):
-    assert [c.value for c in secrets.candidates(text)] == [secret]
+    values = [c.value for c in secrets.candidates(text)]
+    assert secret in values and not any("=" in v or "<" in v for v in values)
+
+
+@pytest.mark.parametrize(
+    "text, name, secret",
+    [
+        ('password = "aB3!"', "password", "aB3!"),
+        ('password = "8402957712"', "password", "8402957712"),
+        ('send("Zq8Lw2Xc9Vb4Nm7")', "send", "Zq8Lw2Xc9Vb4Nm7"),
+        ('api_token = "' + "k3J9xQ27Lm0Z" * 750 + '"', "api_token", "k3J9xQ27Lm0Z" * 750),
+        ("api_token" + " " * 200 + '= "k3J9xQ27Lm0Z"', "api_token", "k3J9xQ27Lm0Z"),
+        ("API_TOKEN=" + "k3J9xQ27Lm0Z" * 750, "API_TOKEN", "k3J9xQ27Lm0Z" * 750),
+        ("<token>k3J9</token>", "token", "k3J9"),
+    ],
+)
+def test_candidates_of_any_length_form_and_distance(text, name, secret):
+    assert [(c.name, c.value) for c in secrets.candidates(text)] == [(name, secret)]
+
+
+def test_names_are_told_by_their_last_word():
+    assert secrets.name_kind("db_password")[0] and secrets.name_kind("apiKey2")[0] and secrets.name_kind("ADMIN_PASSWORD")[0]
+    assert secrets.name_kind("password_field") == (False, True, True) and secrets.name_kind("max_tokens")[0] is False
+    assert not any(secrets.name_kind("cache_key")) and secrets.name_kind("etag")[2]
+
+
+def test_many_literals_of_one_line_take_linear_time():
+    text = ",".join(f'"v{i}x{i}"' for i in range(60_000))
+    assert len(secrets.candidates(text)) > 59_000
 
 
 def test_escaped_quotes_take_linear_time():
