@@ -119,9 +119,10 @@ def test_unusable_copied_and_repeated_vectors(spark):
 
 def test_notices_names_and_features():
     assert handwritten.NOTICE.search("// Code generated by x. DO NOT EDIT.")
-    assert handwritten.HAND.search('// Writes the header "DO NOT EDIT" into files') and handwritten.HAND.search("# Not generated: maintained by hand")
-    assert handwritten.kind_of("a/vendor/x.go")[:2] == (True, True) and handwritten.kind_of("a/app/vendor_portal/vendor_x.py")[:2] == (True, False)
-    assert handwritten.kind_of("a/replay_chunk.go")[1] is False and handwritten.kind_of("x/y.min.js")[1] and not handwritten.kind_of("x/README.md")[0]
+    assert handwritten.measure('// Writes the header "DO NOT EDIT" into files\nx = 1')[1:] == (False, False)
+    assert handwritten.measure("# Not generated: maintained by hand\nx = 1")[1:] == (False, True)
+    assert handwritten.kind_of("a/vendor/x.go") == (True, False) and handwritten.kind_of("a/app/vendor_portal/vendor_x.py") == (False, False)
+    assert handwritten.kind_of("a/replay_chunk.go") == (False, False) and handwritten.kind_of("x/y.min.js") == (False, True) and handwritten.kind_of("x/words_data.py")[1]
     plain, noted = handwritten.measure("x = 1\n"), handwritten.measure("# @generated by y\nx = 1\n")
     assert plain[0] == noted[0] and noted[1] and not plain[1]
 
@@ -136,9 +137,17 @@ def test_files_are_judged(spark):
     rows += [chunk(200, gen(), "src/silent.py"), chunk(200, gen(), "src/silent.py", T1), chunk(201, hand(), "vendor/lib/x.py"), chunk(202, "# Not generated: by hand\n" + hand(), "src/k.py"), chunk(203, None, "src/n.py"), chunk(204, hand(), None), chunk(205, gen(), "README.md")]
     got = {r.source for r in handwritten.judge_files(spark.createDataFrame(rows, CHUNK)).where("elsewhere").collect()}
     assert got == {f"src/g{i}.py" for i in range(20)} | {"src/silent.py", "vendor/lib/x.py"}
+    how = {r.source: r.known_by for r in handwritten.judge_files(spark.createDataFrame(rows, CHUNK)).collect()}
+    assert how["src/silent.py"] == "forest" and how["vendor/lib/x.py"] == "folder" and how["src/k.py"] is None and "README.md" not in how
     assert handwritten.judge_files(spark.createDataFrame([], CHUNK)).count() == 0
 
 
+def test_files_without_labels_of_both_kinds(spark):
+    rows = [chunk(1, "x = 1", "src/a.py"), chunk(2, "y = 2", "third_party/b.PY"), chunk(3, "z", "x/c"), chunk(4, "z", "Makefile")]
+    got = {r.source: r.elsewhere for r in handwritten.judge_files(spark.createDataFrame(rows, CHUNK)).collect()}
+    assert got == {"src/a.py": False, "third_party/b.PY": True}
+
+
 # near-duplicates
 
 
