@@ -6,17 +6,20 @@ smallest signed margin on the path to it. One queue shared by all trees visits t
 of these priorities; since a child never has a higher priority than its parent, that best-first order is the
 descending order of the leaves' own priorities, so for a block of queries it is found at once as a selection over all
 leaves. How many leaves are visited is measured in every shard: for ``TRIALS`` of its queries the true neighbours are
-computed, and the queue goes as far as ``VISIT_RECALL`` of them need. If that is as many leaves as a tree has, one
-tree is visited as a whole, which is exact. Candidates are then reranked exactly, in double precision.
+computed, and the queue goes as far as ``VISIT_RECALL`` of them need. The rows of the visited leaves are the candidates;
+the best of every leaf are then reranked exactly, in double precision.
 
 Scale. An index of up to ``SHARD_ROWS`` rows is one task's work: each row is shuffled once. A larger index is routed
-by a coarse tree of the same kind, which is fitted on a sample of at most ``SAMPLE_ROWS`` rows in total (the only use
-of a sample; every row is indexed): a row is stored in its shard and asks there and in the next shards of its queue.
-How many is measured on the sample, so that ``ROUTE_RECALL`` of the true neighbours in it lie in the shards asked; the
-more random the vectors, the more shards that takes, and the more often they are sent. A shard that exceeds twice
-the limit is dealt out to sub-shards by a hash, and its queries ask in all of them, so no bound drops a row.
-Copies: of vectors that agree in all elements more than k + 1 times, the k + 1 smallest ids take part in the search
-and the others get the k smallest ids directly, which is the exact answer with ties going to the smaller id.
+by a coarse tree of the same kind, which a task of its own fits on a sample of about ``SAMPLE_ROWS`` rows of the index
+(the only use of a sample; every row is indexed): a row is stored in its shard and asks there and in the next shards of
+its queue. How many is measured on the sample, so that ``ROUTE_RECALL`` of the true neighbours in it lie in the shards
+asked; the more random the vectors, the more shards that takes, and the more often they are sent. A shard with more
+than twice the limit of stored rows or of queries becomes a grid of tasks: its rows are dealt out to sub-shards and
+its queries to blocks by a hash, and every block asks every sub-shard, so no task is large and no bound drops a row.
+The coarse trees are all that the driver and the workers hold: one hyperplane for every SHARD_ROWS rows.
+Copies: of vectors with the same direction (to six decimals of the unit vector) more than k + 1 times, the k + 1
+smallest ids take part in the search and the others get the k smallest ids directly, which is the exact answer with
+ties going to the smaller id.
 
 Defined cases: a vector takes part if it is not null, as wide as the index's dimensions, finite in all elements and
 not all zero; vectors of indexes without metadata take no part; of a repeated vec_id the latest arrival counts; ties
@@ -30,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpointed, latest
+from plumbline.llm.common import checkpointed, join_crowded, latest
 
-TREES, LEAF_ROWS, EXTRA = 8, 512, 3
+TREES, LEAF_ROWS, EXTRA = 16, 64, 3
 TRIALS, VISIT_RECALL = 200, 0.97
-SHARD_ROWS, SAMPLE_ROWS, ROUTE_RECALL, SPREAD = 65_536, 40_000, 0.95, 0.25
+SHARD_ROWS, SAMPLE_ROWS, ROUTE_RECALL, SPREAD = 65_536, 20_000, 0.97, 0.25
 BLOCK = 2_048
 
 
@@ -65,6 +68,15 @@ class Tree:
             parts = below
         self.leaves = parts
 
+    @classmethod
+    def of(cls, depth: int, normal: bytes, threshold: bytes) -> Tree:
+        """A tree without its leaves, from its hyperplanes."""
+        tree = cls.__new__(cls)
+        tree.depth, tree.leaves = depth, []
+        tree.threshold = np.frombuffer(threshold, dtype=np.float32)
+        tree.normal = np.frombuffer(normal, dtype=np.float32).reshape(len(tree.threshold), -1)
+        return tree
+
     @staticmethod
     def _direction(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator, sample: int = 48) -> tuple[np.ndarray, float]:
         """The normal of a hyperplane between two centres, and where their middle lies on it."""
@@ -154,12 +166,10 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     x32 = unit32(x)
     q32 = x32 if q is x else unit32(q)
     trees = forest(x32, TREES, LEAF_ROWS, seed)
-    count = visits_needed(trees, x32, k, seed) if len(trees[0].leaves) > 1 else 1
-    if count >= len(trees[0].leaves):
-        trees, count = trees[:1], len(trees[0].leaves)
+    count = visits_needed(trees, x32, k, seed) if len(x) > 1 else 1
     leaves = [rows for t in trees for rows in t.leaves]
     keep = k + 1 + EXTRA
-    block = max(BLOCK // 2, 4_000_000 // (count * keep))
+    block = max(64, 4_000_000 // (count * keep))
     parts = []
     for lo in range(0, len(q), block):
         qs, own = q32[lo : lo + block], q_ids[lo : lo + block]
@@ -224,23 +234,19 @@ def _matrix(column) -> np.ndarray:
 
 
 def _routers(rows: DataFrame, counts: dict[str, int]) -> dict[str, tuple[Tree, int]]:
-    """(coarse tree, shards to ask) of the indexes that are larger than a shard, from a bounded sample of their rows."""
-    share = min(1.0, 0.9 * SAMPLE_ROWS / sum(counts.values()))
-    sample = rows.where(F.col("index_name").isin(list(counts))).select("index_name", "vec_id", "embedding")
-    picked = sample.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE_ROWS).toArrow()
-    names = np.array(picked.column("index_name").to_pylist(), dtype=object)
-    out = {}
-    for name, n in counts.items():
-        at = np.flatnonzero(names == name)
-        if len(at) < 16:
-            continue
-        x = unit32(_matrix(picked.column("embedding").take(pa.array(at))))
-        depth = min(int(np.ceil(np.log2(n / SHARD_ROWS))), int(np.log2(len(x) / 8)))
-        if depth > 0:
-            tree = Tree(x, depth, np.random.default_rng(7), SPREAD)
-            out[name] = tree, _shards_to_ask(tree, x)
-            tree.leaves = []
-    return out
+    """(coarse tree, shards to ask) of the indexes that are larger than a shard, each fitted by a task of its own."""
+    depths = {name: int(np.ceil(np.log2(n / SHARD_ROWS))) for name, n in counts.items()}
+    shares = rows.sparkSession.createDataFrame([(name, int(min(1.0, SAMPLE_ROWS / n) * (1 << 30))) for name, n in counts.items()], "index_name string, _share bigint")
+    picked = rows.join(F.broadcast(shares), "index_name").where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 30)) < F.col("_share"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        name = t.column("index_name")[0].as_py()
+        x = unit32(_matrix(t.column("embedding")))
+        tree = Tree(x, min(depths[name], int(np.log2(max(2, len(x) / 8)))), np.random.default_rng(7), SPREAD)
+        return pa.table({"index_name": [name], "depth": pa.array([tree.depth], pa.int32()), "asked": pa.array([_shards_to_ask(tree, x)], pa.int32()), "normal": [tree.normal.tobytes()], "threshold": [tree.threshold.tobytes()]})
+
+    fitted = picked.select("index_name", "embedding").groupBy("index_name").applyInArrow(fit, "index_name string, depth int, asked int, normal binary, threshold binary")
+    return {r["index_name"]: (Tree.of(r["depth"], bytes(r["normal"]), bytes(r["threshold"])), r["asked"]) for r in fitted.collect()}
 
 
 def _shards_to_ask(tree: Tree, x: np.ndarray, k: int = 5, queries: int = 500) -> int:
@@ -249,6 +255,8 @@ def _shards_to_ask(tree: Tree, x: np.ndarray, k: int = 5, queries: int = 500) ->
     s = q @ x.T
     s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     k = min(k, len(x) - 1)
+    if k < 1:
+        return 1 << tree.depth
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
     home = np.concatenate([tree.priorities(x[i : i + BLOCK]).argmax(1) for i in range(0, len(x), BLOCK)])
     place = np.argsort(np.argsort(-tree.priorities(q), axis=1), axis=1)  # of each shard in the queue
@@ -281,10 +289,30 @@ def _routed(part: pa.RecordBatch, rows: np.ndarray, shard: np.ndarray, stored: n
     return pa.RecordBatch.from_arrays([*taken.columns, pa.array(shard, pa.int32()), pa.array(stored)], names=["index_name", "vec_id", "embedding", "shard", "stored"])
 
 
+def _grid(routed: DataFrame) -> DataFrame:
+    """The rows with their part of the shard, and whether they are stored (``stored``) and ask (``asks``) there.
+
+    A shard of more than twice the limit is a grid of sub-shards × blocks of queries.
+    """
+    parts = lambda n: F.ceil(n / SHARD_ROWS).cast("int")
+    sizes = routed.groupBy("index_name", "shard").agg(F.count_if("stored").alias("own"), F.count("*").alias("asking")).where(F.greatest("own", "asking") > 2 * SHARD_ROWS)
+    hot = checkpointed(sizes.select("index_name", "shard", F.greatest(F.lit(1), parts(F.col("own"))).alias("rows"), parts(F.col("asking")).alias("columns")))  # at most rows sent / SHARD_ROWS
+    if hot.isEmpty():
+        return routed.withColumn("part", F.lit(0)).withColumn("asks", F.lit(True))
+    marked = routed.join(F.broadcast(hot), ["index_name", "shard"], "left")
+    plain = marked.where("rows is null").withColumn("part", F.lit(0)).withColumn("asks", F.lit(True))
+    crowded = marked.where("rows is not null")
+    row, column = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("rows")).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(8)), F.col("columns")).cast("int")
+    own = crowded.where("stored").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: row * F.col("columns") + j))).withColumn("asks", F.lit(False))
+    asking = crowded.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: i * F.col("columns") + column))).withColumn("asks", F.lit(True)).withColumn("stored", F.lit(False))
+    return plain.unionByName(own).unionByName(asking).drop("rows", "columns")
+
+
 def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
     """vec_id, neighbor_id, rank, similarity (cosine) of the k most similar vectors of the same index."""
     rows = usable(vectors, meta)
-    copy = F.xxhash64("index_name", "embedding")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, e: s + e.cast("double") * e))
+    copy = F.xxhash64("index_name", F.transform("embedding", lambda e: F.round(e / norm, 6) + 0.0))  # + 0.0: one zero
     crowded = vectors.where(_sound()).groupBy("index_name", copy.alias("copy")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
     crowded = checkpointed(crowded.select("index_name", "copy"))
     direct = None
@@ -293,7 +321,7 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
         same = rows.select("index_name", "copy", "vec_id").join(crowded, ["index_name", "copy"], "left_semi")
         first = same.withColumn("no", F.row_number().over(Window.partitionBy("index_name", "copy").orderBy("vec_id"))).where(F.col("no") <= k + 1)
         first = checkpointed(first.groupBy("index_name", "copy").agg(F.sort_array(F.collect_list("vec_id")).alias("first")))
-        placed = rows.join(first, ["index_name", "copy"], "left")
+        placed = join_crowded(rows, first, ["index_name", "copy"])
         searched = placed.where(F.col("first").isNull() | F.array_contains("first", F.col("vec_id")))
         others = placed.where(F.col("first").isNotNull() & ~F.array_contains("first", F.col("vec_id")))
         direct = others.select("vec_id", F.explode(F.slice("first", 1, k)).alias("neighbor_id"), F.lit(1.0).alias("similarity"))
@@ -301,34 +329,20 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
 
     big = vectors.groupBy("index_name").count().where(F.col("count") > SHARD_ROWS).where("index_name is not null").collect()  # at most total / SHARD_ROWS rows
     counts = {r["index_name"]: r["count"] for r in big}
-    routers = _routers(_fitting(vectors, meta), counts) if counts else {}
-    if routers:
-        routed = _route(rows, routers)
-    else:
-        routed = rows.select("index_name", "vec_id", "embedding", F.lit(0).alias("shard"), F.lit(True).alias("stored"))
-    # shards beyond the limit: their rows are dealt out, their queries ask everywhere
-    hot = []
     if counts:
-        sizes = routed.where("stored").groupBy("index_name", "shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD_ROWS)
-        hot = [(r["index_name"], r["shard"], -(-r["n"] // SHARD_ROWS)) for r in sizes.collect()]  # at most rows / SHARD_ROWS
-    if hot:
-        parts = rows.sparkSession.createDataFrame(hot, "index_name string, shard int, parts int")
-        of = F.coalesce(F.col("parts"), F.lit(1))
-        routed = routed.join(parts, ["index_name", "shard"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), of - 1)))
-        routed = routed.withColumn("stored", F.col("stored") & (F.pmod(F.xxhash64("vec_id", F.lit(3)), of) == F.col("part"))).select("index_name", "vec_id", "embedding", "shard", "stored", "part")
+        routed = _grid(_route(rows, _routers(_fitting(vectors, meta), counts)))
     else:
-        routed = routed.withColumn("part", F.lit(0))
+        routed = rows.select("index_name", "vec_id", "embedding", F.lit(0).alias("shard"), F.lit(0).alias("part"), F.lit(True).alias("stored"), F.lit(True).alias("asks"))
 
     def one(t: pa.Table) -> pa.Table:
         x, ids = _matrix(t.column("embedding")), t.column("vec_id").to_numpy()
-        stored = t.column("stored").to_numpy(zero_copy_only=False).astype(bool)
+        stored, asks = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("stored", "asks"))
         own = (x, ids) if stored.all() else (x[stored], ids[stored])
-        a, b, s = search(*own, x, ids, k)
+        asking = (x, ids) if asks.all() else (x[asks], ids[asks])
+        a, b, s = search(*own, *asking, k)
         return pa.table({"vec_id": a, "neighbor_id": b, "similarity": s})
 
     pairs = routed.groupBy("index_name", "shard", "part").applyInArrow(one, "vec_id bigint, neighbor_id bigint, similarity double")
-    if counts:
-        pairs = pairs.groupBy("vec_id", "neighbor_id").agg(F.max("similarity").alias("similarity"))
     if direct is not None:
         pairs = pairs.unionByName(direct)
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbor_id")))
