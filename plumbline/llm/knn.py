@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpointed, join_crowded, latest
 
-TREES, LEAF_ROWS, EXTRA = 16, 64, 3
+TREES, LEAF_ROWS, EXTRA = 16, 128, 3
+FIRST, GROW = 8, 4  # leaves of the first round of visits, and how much further each round goes
 TRIALS, VISIT_RECALL = 200, 0.97
 SHARD_ROWS, SAMPLE_ROWS, ROUTE_RECALL, SPREAD = 65_536, 20_000, 0.97, 0.25
-BLOCK = 2_048
+BLOCK, QUERIES = 1_024, 8_192
 
 
 class Tree:
@@ -112,11 +113,19 @@ def forest(x: np.ndarray, trees: int, leaf_rows: int, seed: int) -> list[Tree]:
     return [Tree(x, depth, rng) for _ in range(trees if depth else 1)]
 
 
-def visits(trees: list[Tree], q: np.ndarray, count: int) -> np.ndarray:
-    """(queries, count): numbers of the leaves, over all trees, that the shared queue yields first."""
-    all_ = np.concatenate([t.priorities(q) for t in trees], axis=1)
-    count = min(count, all_.shape[1])
-    return np.argpartition(-all_, count - 1, axis=1)[:, :count] if count < all_.shape[1] else np.tile(np.arange(count), (len(q), 1))
+def visits(trees: list[Tree], q: np.ndarray, edges: list[int]) -> np.ndarray:
+    """(queries, edges[-1]): the leaves, over all trees, that the shared queue yields first.
+
+    Those up to every edge come before the others; within a round their order doesn't matter.
+    """
+    out = []
+    for lo in range(0, len(q), BLOCK):
+        queue = np.concatenate([t.priorities(q[lo : lo + BLOCK]) for t in trees], axis=1)
+        np.negative(queue, out=queue)
+        kth = [e - 1 for e in edges if e < queue.shape[1]]
+        order = np.argpartition(queue, kth, axis=1) if kth else np.tile(np.arange(queue.shape[1]), (len(queue), 1))
+        out.append(order[:, : edges[-1]].astype(np.int32))
+    return np.concatenate(out)
 
 
 def visits_needed(trees: list[Tree], x: np.ndarray, k: int, seed: int) -> int:
@@ -153,9 +162,9 @@ def unit32(x: np.ndarray) -> np.ndarray:
 
 
 def _cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """(queries, candidates), in double precision."""
+    """Row by row, in double precision."""
     q, x = q.astype(np.float64), x.astype(np.float64)
-    return np.einsum("qd,qmd->qm", q, x) / np.sqrt((q * q).sum(1, keepdims=True) * (x * x).sum(2))
+    return np.clip(np.einsum("nd,nd->n", q, x) / np.sqrt((q * q).sum(1) * (x * x).sum(1)), -1.0, 1.0)
 
 
 def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,49 +175,64 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     x32 = unit32(x)
     q32 = x32 if q is x else unit32(q)
     trees = forest(x32, TREES, LEAF_ROWS, seed)
-    count = visits_needed(trees, x32, k, seed) if len(x) > 1 else 1
     leaves = [rows for t in trees for rows in t.leaves]
-    keep = k + 1 + EXTRA
-    block = max(64, 4_000_000 // (count * keep))
+    count = visits_needed(trees, x32, k, seed) if len(x) > 1 else 1
+    edges = [min(FIRST, count)]
+    while edges[-1] < count:
+        edges.append(min(GROW * edges[-1], count))
     parts = []
-    for lo in range(0, len(q), block):
-        qs, own = q32[lo : lo + block], q_ids[lo : lo + block]
-        chosen = np.concatenate([visits(trees, qs[i : i + BLOCK], count) for i in range(0, len(qs), BLOCK)])
-        n, v = chosen.shape
-        found = np.full((n, v, keep), -1, dtype=np.int32)
-        score = np.full((n, v, keep), -np.inf, dtype=np.float32)
-        flat = chosen.ravel()
-        order = np.argsort(flat, kind="stable")
-        bounds = np.searchsorted(flat[order], np.arange(len(leaves) + 1))
-        for leaf, rows in enumerate(leaves):
-            at = order[bounds[leaf] : bounds[leaf + 1]]
-            if not len(at) or not len(rows):
-                continue
-            for i in range(0, len(at), BLOCK):
-                who, slot = np.divmod(at[i : i + BLOCK], v)
-                s = qs[who] @ x32[rows].T
-                m = min(keep, len(rows))
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(rows) else np.tile(np.arange(m), (len(who), 1))
-                found[who, slot, :m] = rows[best]
-                score[who, slot, :m] = np.take_along_axis(s, best, axis=1)
-        found, score = found.reshape(n, -1), score.reshape(n, -1)
-        # the same row found in several leaves counts once; the query itself doesn't count
-        order = np.argsort(found, axis=1, kind="stable")
-        found, score = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
-        score[:, 1:][found[:, 1:] == found[:, :-1]] = -np.inf
-        score[(ids[found] == own[:, None]) | (found < 0)] = -np.inf
-        m = min(k + EXTRA, found.shape[1])
-        best = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < found.shape[1] else np.tile(np.arange(m), (n, 1))
-        rows, ok = np.take_along_axis(found, best, 1), np.isfinite(np.take_along_axis(score, best, 1))
-        sim = np.concatenate([_cosine(q[lo + i : lo + min(i + BLOCK, n)], x[rows[i : i + BLOCK]]) for i in range(0, n, BLOCK)])
-        sim = np.where(ok, np.clip(sim, -1.0, 1.0), -np.inf)
-        order = np.lexsort((ids[rows], -sim), axis=1)[:, :k]
-        rows, sim = np.take_along_axis(rows, order, 1), np.take_along_axis(sim, order, 1)
-        ok = np.isfinite(sim)
-        parts.append((np.repeat(own, ok.sum(1)), ids[rows][ok], sim[ok]))
+    for lo in range(0, len(q), QUERIES):
+        qs, own = q32[lo : lo + QUERIES], q_ids[lo : lo + QUERIES]
+        who, rows = _candidates(x32, ids, qs, own, leaves, visits(trees, qs, edges), edges, k + EXTRA)
+        sim = np.concatenate([_cosine(q[lo + who[i : i + 65_536]], x[rows[i : i + 65_536]]) for i in range(0, len(who), 65_536)] or [np.empty(0)])
+        order = np.lexsort((ids[rows], -sim, who))
+        who, rows, sim = who[order], rows[order], sim[order]
+        kept = _place(who) < k
+        parts.append((own[who[kept]], ids[rows[kept]], sim[kept]))
     return tuple(np.concatenate(c) for c in zip(*parts)) if parts else empty
 
 
+def _place(who: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of its query; entries of a query stand together."""
+    at = np.arange(len(who))
+    starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else at
+    return at - np.repeat(starts, np.diff(np.append(starts, len(who))))
+
+
+def _candidates(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, leaves: list[np.ndarray], chosen: np.ndarray, edges: list[int], keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row): the best rows of the visited leaves. After every round only what beats the best so far is added."""
+    least = np.full(len(q), -np.inf, dtype=np.float32)
+    who, rows, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    for begin, end in zip([0, *edges[:-1]], edges):
+        visited = chosen[:, begin:end].ravel()
+        order = np.argsort(visited, kind="stable")
+        bounds = np.searchsorted(visited[order], np.arange(len(leaves) + 1))
+        order //= end - begin
+        found = [(who, rows, score)]
+        for leaf in np.flatnonzero(np.diff(bounds)):
+            inside = leaves[leaf]
+            if not len(inside):
+                continue
+            asking = order[bounds[leaf] : bounds[leaf + 1]]
+            s = q[asking] @ x[inside].T
+            if not begin and len(inside) > keep + 1:  # the first round has no bound yet but that of the leaf
+                bound = np.partition(s, len(inside) - keep - 1, axis=1)[:, len(inside) - keep - 1 : len(inside) - keep]
+                i, j = np.nonzero(s >= bound)
+            else:
+                i, j = np.nonzero(s >= least[asking][:, None])
+            found.append((asking[i], inside[j], s[i, j]))
+        who, rows, score = (np.concatenate(c) for c in zip(*found))
+        _, once = np.unique(who * len(x) + rows, return_index=True)
+        once = once[ids[rows[once]] != own[who[once]]]
+        order = np.lexsort((ids[rows[once]], -score[once], who[once]))
+        once = once[order]
+        once = once[_place(who[once]) < keep]
+        who, rows, score = who[once], rows[once], score[once]
+        full = np.flatnonzero(_place(who) == keep - 1)
+        least[who[full]] = score[full]
+    return who, rows
+
+
 def usable(vectors: DataFrame, meta: DataFrame) -> DataFrame:
     """index_name, vec_id, embedding of the vectors that take part."""
     rows = latest(vectors.where("vec_id is not null").select("vec_id", "index_name", "embedding", "ingested_at"), ["vec_id"], "ingested_at", "index_name", "embedding")
@@ -312,7 +336,9 @@ def nearest(vectors: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
     """vec_id, neighbor_id, rank, similarity (cosine) of the k most similar vectors of the same index."""
     rows = usable(vectors, meta)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, e: s + e.cast("double") * e))
-    copy = F.xxhash64("index_name", F.transform("embedding", lambda e: F.round(e / norm, 6) + 0.0))  # + 0.0: one zero
+    # the norm stands in an array of its own, so that it is computed once a row
+    whole = F.zip_with("embedding", F.array_repeat(norm, F.size("embedding")), lambda e, n: F.rint(e / n * 1e6).cast("long"))
+    copy = F.xxhash64("index_name", whole)
     crowded = vectors.where(_sound()).groupBy("index_name", copy.alias("copy")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
     crowded = checkpointed(crowded.select("index_name", "copy"))
     direct = None
