@@ -6,12 +6,15 @@ Two small collections of half keys are made from each set: ``TABLES`` half keys
 probability (1 − (1 − s^HALF)^TABLES)²: 0.97 at 0.7, 0.99 at 0.75, over 0.999 from 0.85. Rows aren't sent to every
 table: each goes to its TABLES half keys A_i and carries its B minhashes, and the tables (i, ·) of a bucket are
 formed where the bucket is processed. A bucket of A_i that exceeds ``BUCKET_ROWS`` is divided by its full keys
-(A_i, B_j), and one that is still too large into pairs of blocks, so a key that a third of all rows share never
-comes into one task, and nothing is cut.
+(A_i, B_j), and one that is still too large into pairs of blocks (rows of one block meet in the block's own bucket
+only), so a key that a third of all rows share never comes into one task, and nothing is cut.
 Members of a table are compared by their B minhashes (8 bits each) and candidates verified exactly on the words.
 
 Copies: chunks with the same set of words are one class and one row of the search. Links are found between class
-representatives; the pairs that the query's columns ask for come from joining these links with the members.
+representatives; the pairs that the query's columns ask for come from joining these links with the members. A class
+of n copies has n(n − 1)/2 such pairs, which is the size of that output; the members of a class come in blocks of at
+most about ``MEMBERS``, and every two blocks are joined by themselves, so the work on a large class is spread.
+``similar_classes`` gives classes and links without pairs of copies.
 
 Defined cases: words are maximal runs of ASCII letters and digits, lower-cased, of two or more characters; null
 texts and texts without words take no part; of a repeated chunk_id the latest arrival counts; empty tables give no
@@ -29,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpointed, latest
+from plumbline.llm.common import checkpointed, join_crowded, latest
 
 TABLES, HALF = 10, 3
 LEAST = 0.7
 SCREEN = 0.42  # of the B minhashes must agree before words are compared; 0.7 fails that once in about 3,000 pairs
 BUCKET_ROWS = 20_000
+MEMBERS = 2_000
 BLOCK = 512
 
 WORDS = re.compile(rb"[a-z0-9]{2,}")
@@ -115,9 +119,11 @@ def signatures(chunks: DataFrame) -> DataFrame:
     return latest(signed, ["chunk_id"], "ingested_at", "same", "same2", "size", "a", "b")
 
 
-def _meet(key: np.ndarray, ids: np.ndarray, size: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+def _meet(key: np.ndarray, ids: np.ndarray, size: np.ndarray, side: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
     """Candidate pairs among the rows, which meet in a table if they agree in key and in one of the B half keys.
 
+    Rows of one side of a bucket (1 or 2) don't meet each other, those of side 0 do.
+
     Pairs come in arrays of bounded size; one that meets in several tables may come several times.
     """
     parts = b.reshape(len(b), TABLES, HALF).astype(np.uint64)
@@ -141,7 +147,7 @@ def _meet(key: np.ndarray, ids: np.ndarray, size: np.ndarray, b: np.ndarray) ->
                     near &= np.minimum(size[x][:, None], size[y][None, :]) >= LEAST * np.maximum(size[x][:, None], size[y][None, :]) - 1e-9
                     i, k = np.nonzero(near)
                     p, q = ids[x[i]], ids[y[k]]
-                    ok = p != q
+                    ok = (p != q) & ((side[x[i]] == 0) | (side[x[i]] != side[y[k]]))
                     found.append(np.stack([np.minimum(p[ok], q[ok]), np.maximum(p[ok], q[ok])], 1))
                     held += len(found[-1])
             if held > 500_000:
@@ -158,7 +164,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
         b = np.frombuffer(b"".join(t.column("b").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-        for pairs in _meet(t.column("bucket").to_numpy(), t.column("rep").to_numpy(), t.column("size").to_numpy(), b):
+        for pairs in _meet(t.column("bucket").to_numpy(), t.column("rep").to_numpy(), t.column("size").to_numpy(), t.column("side").to_numpy(), b):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
@@ -178,7 +184,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowded(keyed: DataFrame) -> DataFrame:
-    """Buckets of more than BUCKET_ROWS rows, with the number of blocks they need."""
+    """Buckets of more than BUCKET_ROWS rows (at most rows / BUCKET_ROWS), with the number of blocks they need."""
     counts = keyed.groupBy("bucket").count().where(F.col("count") > BUCKET_ROWS)
     return checkpointed(counts.select("bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("blocks")))
 
@@ -192,15 +198,16 @@ def _divided(keyed: DataFrame) -> DataFrame:
     hot = _crowded(keyed)
     if hot.isEmpty():
         return keyed
-    full = keyed.join(hot.select("bucket"), "bucket", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))))
+    full = keyed.join(F.broadcast(hot.select("bucket")), "bucket", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))))
     full = full.withColumn("bucket", F.xxhash64("bucket", "j", F.substring("b", F.col("j") * HALF + 1, F.lit(HALF)))).select(*keyed.columns)
-    plain = keyed.join(hot.select("bucket"), "bucket", "left_anti")
+    plain = keyed.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti")
     still = _crowded(full)
     if not still.isEmpty():
         own = F.pmod(F.xxhash64("rep", F.lit(4)), F.col("blocks"))
-        blocks = full.join(still, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        blocks = blocks.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).select(*keyed.columns)
-        full = full.join(still.select("bucket"), "bucket", "left_anti").unionByName(blocks)
+        blocks = full.join(F.broadcast(still), "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        blocks = blocks.withColumn("side", side.cast("byte")).withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).select(*keyed.columns)
+        full = full.join(F.broadcast(still.select("bucket")), "bucket", "left_anti").unionByName(blocks)
     return plain.select(*keyed.columns).unionByName(full)
 
 
@@ -209,10 +216,10 @@ def class_links(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = checkpointed(signatures(chunks))
     classes = checkpointed(signed.groupBy("same", "same2").agg(F.min(F.struct("chunk_id", "size", "a", "b")).alias("r")))  # used three times
     reps = classes.select(F.col("r.chunk_id").alias("rep"), "r.size", "r.a", "r.b")
-    keyed = reps.select("rep", "size", "b", F.posexplode("a").alias("i", "key")).select("rep", "size", "b", F.xxhash64("i", "key").alias("bucket"))
+    keyed = reps.select("rep", "size", "b", F.posexplode("a").alias("i", "key")).select("rep", "size", "b", F.lit(0).cast("byte").alias("side"), F.xxhash64("i", "key").alias("bucket"))
     keyed = _divided(keyed)
     placed = keyed.repartition("bucket").sortWithinPartitions("bucket")
-    found = placed.select("bucket", "rep", "size", "b").mapInArrow(_candidates, "a bigint, b bigint").distinct()
+    found = placed.select("bucket", "rep", "size", "side", "b").mapInArrow(_candidates, "a bigint, b bigint").distinct()
     found = checkpointed(found)
 
     # exact verification: two rows for each candidate, each with its set of words
@@ -223,7 +230,7 @@ def class_links(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = F.size(F.array_intersect("wa", "wb"))
     both = pairs.select("a", "b", shared.alias("shared"), (F.size("wa") + F.size("wb") - shared).alias("either"))
     links = both.where(F.col("shared") * 10 >= F.col("either") * int(LEAST * 10)).select("a", "b", (F.col("shared") / F.col("either")).alias("similarity"))
-    members = signed.select("chunk_id", "size", "same", "same2").join(classes.select("same", "same2", F.col("r.chunk_id").alias("rep")), ["same", "same2"])
+    members = join_crowded(signed.select("chunk_id", "size", "same", "same2"), classes.select("same", "same2", F.col("r.chunk_id").alias("rep")), ["same", "same2"])
     return members.select("chunk_id", "rep", "size"), links
 
 
@@ -236,13 +243,25 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_chunks(chunks: DataFrame) -> DataFrame:
     """chunk_id_a < chunk_id_b of all pairs: members of linked classes, and members of one class."""
     members, links = class_links(chunks)
-    members = checkpointed(members)
-    left, right = (members.select(F.col("chunk_id").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("x", "y"))
-    across = links.join(left, F.col("a") == F.col("rep_x")).join(right, F.col("b") == F.col("rep_y")).select("x", "y")
-    # the members of a class beside its representative, against all its members
-    copied = members.where("chunk_id <> rep")
-    several = members.join(copied.select("rep").distinct(), "rep", "left_semi")
-    within = several.select(F.col("chunk_id").alias("x"), "rep").join(copied.select(F.col("chunk_id").alias("y"), "rep"), "rep").where("x < y").select("x", "y")
+    members = checkpointed(members.select("chunk_id", "rep"))
+    # classes that need several blocks, at most rows / MEMBERS
+    large = checkpointed(members.groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS).select("rep", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")))
+    blocks = F.coalesce(F.col("blocks"), F.lit(1))
+    numbered = members.join(F.broadcast(large), "rep", "left").select("chunk_id", "rep", F.pmod(F.xxhash64("chunk_id", F.lit(9)), blocks).cast("int").alias("block"))
+
+    def side(x: str, rep: str, no: str) -> DataFrame:
+        return numbered.select(F.col("chunk_id").alias(x), F.col("rep").alias(rep), F.col("block").alias(no))
+
+    def counted(df: DataFrame, rep: str, no: str) -> DataFrame:
+        """A row for each block of the class."""
+        own = large.select(F.col("rep").alias(rep), "blocks")
+        return df.join(F.broadcast(own), rep, "left").withColumn(no, F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+
+    across = counted(counted(links.select("a", "b"), "a", "i"), "b", "j").join(side("x", "a", "i"), ["a", "i"]).join(side("y", "b", "j"), ["b", "j"]).select("x", "y")
+    # within a class: every block with itself and with those after it
+    several = members.where("chunk_id <> rep").select("rep").distinct()
+    within = counted(counted(several, "rep", "i").withColumnRenamed("rep", "a"), "a", "j").where("i <= j")
+    within = within.join(side("x", "a", "i"), ["a", "i"]).join(side("y", "a", "j"), ["a", "j"]).where("i < j or x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b"))
 
 
@@ -252,5 +271,5 @@ def similar_classes(chunks: DataFrame) -> DataFrame:
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     members = checkpointed(members)
     sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))
-    out = members.join(sizes, "rep").join(ends, "rep", "left")
+    out = join_crowded(members, checkpointed(sizes.join(ends, "rep", "left")), ["rep"])
     return out.select("chunk_id", F.col("rep").alias("class_id"), "copies", F.coalesce(F.col("links"), F.lit(0).cast("long")).alias("links"))

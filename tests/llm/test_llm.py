@@ -175,6 +175,12 @@ def test_similar_chunks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BUCKET_ROWS", 1)  # every bucket is divided by its full keys
     divided = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_chunks(table).collect()}
     assert divided == got
+    monkeypatch.setattr(neardup, "MEMBERS", 2)  # classes in several blocks, and hot keys by broadcast
+    monkeypatch.setattr("plumbline.llm.common.CROWD", 2)
+    copies = table.unionByName(spark.createDataFrame([chunk(i, rows[7][1]) for i in range(500, 507)], CHUNK))
+    wanted = got | {tuple(sorted((i, k if k != 7 else j))) for i, k in ((x, y) for p in got for x, y in (p, p[::-1])) for j in range(500, 507) if k == 7} | {(a, b) for a in [7, *range(500, 507)] for b in range(500, 507) if a < b}
+    spread = [(r.chunk_id_a, r.chunk_id_b) for r in neardup.similar_chunks(copies).collect()]
+    assert len(spread) == len(set(spread)) and set(spread) == wanted
     classes = {r.chunk_id: r for r in neardup.similar_classes(table).collect()}
     assert classes[405].class_id == 400 and classes[401].copies == 3 and len(classes) == 303
     assert neardup.similar_chunks(table.limit(0)).count() == 0
