@@ -5,7 +5,8 @@
    others share the rest in proportion to their targets.
 2. Every document of the source gets ⌊x_s / T_s⌋ whole copies for certain.
 3. The rest of x_s is drawn by Pareto order sampling: document i has inclusion probability
-   π_i ∝ n_tokens^length_exponent (those that reach one are certain), a uniform number u_i from a hash of its id
+   π_i = min(1, c_s · n_tokens^length_exponent), c_s such that the expected tokens are the rest of x_s although some
+   documents are certain (found from the lengths that occur in the source), a uniform number u_i from a hash of its id
    and the seed, and the rank q_i = (u_i / (1 − u_i)) / (π_i / (1 − π_i)). Documents are taken by ascending rank
    until their tokens make up the rest, the last one only if it comes nearer to the target.
 
@@ -49,7 +50,7 @@ def _quotas(stats: DataFrame, targets: DataFrame, total_tokens: int | None) -> D
         targets.where("source is not null and target_share > 0 and not isnan(target_share) and max_repeats >= 1")
         .groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").cast("long").alias("max_repeats"))
     )
-    joined = clean.join(stats, "source", "left").na.fill(0, ["tokens", "docs", "weighted"])
+    joined = clean.join(stats, "source", "left").na.fill(0, ["tokens", "docs"])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source")
@@ -65,6 +66,21 @@ def _quotas(stats: DataFrame, targets: DataFrame, total_tokens: int | None) -> D
     return one.withColumn("whole", F.floor(ratio + 1e-9)).withColumn("rest", F.greatest(F.lit(0.0), F.col("quota") - F.col("whole") * F.col("tokens")))
 
 
+def inclusion_factors(lengths: DataFrame, quotas: DataFrame, exponent: float) -> DataFrame:
+    """(source, factor): c with Σ min(1, c · n^exponent) · n = rest, from (source, n_tokens, docs).
+
+    If the documents longer than n are certain, c is what is left of the rest over the weights of the others; the
+    largest n that is not certain under its own c has the right one. A source has as many rows as lengths.
+    """
+    weight = F.pow(F.col("n_tokens").cast("double"), F.lit(float(exponent)))
+    down = Window.partitionBy("source").orderBy(F.desc("n_tokens"))
+    rows = lengths.join(F.broadcast(quotas.select("source", "rest")), "source").where("rest > 0.5").withColumn("weight", weight).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
+    longer = F.coalesce(F.sum("tokens").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    others = F.sum(F.col("weight") * F.col("tokens")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("factor", (F.col("rest") - longer) / others)
+    return rows.where("factor * weight < 1").groupBy("source").agg(F.max_by("factor", "n_tokens").alias("factor"))
+
+
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, length_exponent: float = 0.5, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     """The selection (doc_id, source, n_tokens, copies) and the quotas per named source.
 
@@ -75,14 +91,16 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     counted = with_token_counts(usable, ["doc_id", "source"], folder=folder)
     counted = checkpointed(counted.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("d")).select("doc_id", "d.source", "d.n_tokens").where("n_tokens > 0"))
     size = F.pow(F.col("n_tokens").cast("double"), F.lit(float(length_exponent)))
-    stats = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"), F.sum(size * F.col("n_tokens")).alias("weighted"))
+    stats = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     quotas = checkpointed(_quotas(stats, targets, total_tokens))
 
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    pi = F.least(F.lit(1.0), F.col("rest") * size / F.col("weighted"))
+    factors = inclusion_factors(counted.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")), quotas, length_exponent)
+    quotas_ = quotas.join(factors, "source", "left")
+    pi = F.least(F.lit(1.0), F.coalesce(F.col("factor") * size, F.lit(1.0)))
     log_rank = F.when(pi >= 1.0, F.lit(-RANK_SPAN)).otherwise(F.log(u) - F.log1p(-u) - F.log(pi) + F.log1p(-pi))
     bucket = F.floor((F.least(F.greatest(log_rank, F.lit(-RANK_SPAN)), F.lit(RANK_SPAN)) + RANK_SPAN) / (2 * RANK_SPAN) * (RANK_BUCKETS - 1)).cast("int")
-    ranked = counted.join(quotas.select("source", "whole", "rest", "weighted"), "source").withColumn("log_rank", F.when(F.col("rest") > 0.5, log_rank)).withColumn("bucket", F.when(F.col("rest") > 0.5, bucket))
+    ranked = counted.join(F.broadcast(quotas_.select("source", "whole", "rest", "factor")), "source").withColumn("log_rank", F.when(F.col("rest") > 0.5, log_rank)).withColumn("bucket", F.when(F.col("rest") > 0.5, bucket))
 
     # where the tokens taken in order of rank reach the rest of the quota
     histogram = ranked.where("bucket is not null").groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"))

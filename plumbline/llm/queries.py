@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import checkpointed, latest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,6 +155,23 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(_items(spark, d))
 
 
+@query
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    """By kind of item, the masked texts that have another length or other changes than to asterisks."""
+    from plumbline.llm.secrets import redact
+
+    items = _items(spark, d)
+    before = latest(items, ["item_kind", "item_id"], "ingested_at", "text").withColumnRenamed("text", "before")
+    both = redact(items).join(before, ["item_kind", "item_id"])
+    changed = F.exists(F.arrays_zip(F.split("before", "").alias("a"), F.split("text", "").alias("b")), lambda x: (x["a"] != x["b"]) & (x["b"] != "*"))
+    broken = both.select("item_kind", ((F.length("before") != F.length("text")) | changed).cast("long").alias("broken"))
+    kinds = spark.createDataFrame([("chunk", 0), ("block", 0)], "item_kind string, broken bigint")
+    return broken.unionByName(kinds).groupBy("item_kind").agg(F.sum("broken").alias("broken"))
+
+
+SQL["p5_checks"] = "SELECT unnest(['chunk', 'block']) AS item_kind, 0::BIGINT AS broken"
+
+
 # 6. Packing -----------------------------------------------------------------------------------------------------
 
 
@@ -173,6 +191,22 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p6_pack(spark, d))
 
 
+@query
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per limit: documents placed, sequences over the capacity, documents cut without need or not whole."""
+    packed = checkpointed(p6_pack(spark, d))
+    bins = packed.groupBy("limit_name", "container").agg((F.sum("n_tokens") > F.max("capacity_tokens")).cast("long").alias("over")).groupBy("limit_name").agg(F.sum("over").alias("over_full"))
+    per = packed.groupBy("limit_name", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("last"), F.count("*").alias("parts"), F.max("capacity_tokens").alias("capacity"))
+    cut = ((F.col("parts") > 1) & (F.col("n") <= F.col("capacity"))).cast("long")
+    docs = per.groupBy("limit_name").agg(F.count("*").alias("docs"), F.sum(cut).alias("cut_without_need"), F.sum((F.col("n") != F.col("last")).cast("long")).alias("not_whole"))
+    return docs.join(bins, "limit_name").select("limit_name", "docs", "over_full", "cut_without_need", "not_whole")
+
+
+SQL["p6_checks"] = """
+SELECT limit_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS docs, 0::BIGINT AS over_full, 0::BIGINT AS cut_without_need, 0::BIGINT AS not_whole
+FROM pack_limits WHERE limit_name IS NOT NULL AND capacity_tokens >= 1"""
+
+
 # 7. Mixing ------------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +226,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(*mix(table(spark, d, "documents", "doc_id"), table(spark, d, "mix_targets")))
 
 
+@query
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per named source: whether its quota is met to half its longest document and no document comes too often."""
+    from plumbline.llm.mix import mix, share_report
+
+    selection, quotas = mix(table(spark, d, "documents", "doc_id"), table(spark, d, "mix_targets"))
+    selection = checkpointed(selection)
+    longest = selection.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    rows = share_report(selection, quotas).join(quotas.select("source", "quota"), "source").join(longest, "source", "left")
+    met = F.abs(F.col("mixed_tokens") - F.col("quota")) <= F.coalesce(F.col("longest"), F.lit(0)) / 2 + 1
+    return rows.select("source", met.alias("quota_met"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
+SQL["p7_checks"] = "SELECT DISTINCT source, true AS quota_met, true AS repeats_kept FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats >= 1"
+
+
 # 8. Spam pages --------------------------------------------------------------------------------------------------
 
 

@@ -253,6 +253,15 @@ def test_water_filling():
     assert mix.water_fill([10, 100, 0], [0.5, 0.25, 0.25], 60) == pytest.approx([10, 50, 0])
 
 
+def test_inclusion_odds_add_up_beside_certain_documents(spark):
+    lengths = [("a", n, 1) for n in [*range(1, 60), 4000]] + [("b", 10, 7), ("c", 5, 3)]
+    quotas = spark.createDataFrame([("a", 4500.0), ("b", 35.0), ("c", 0.0)], "source string, rest double")
+    factor = {r.source: r.factor for r in mix.inclusion_factors(spark.createDataFrame(lengths, "source string, n_tokens bigint, docs bigint"), quotas, 0.5).collect()}
+    for source, rest in (("a", 4500), ("b", 35)):
+        assert sum(min(1, factor[source] * n**0.5) * n * k for s, n, k in lengths if s == source) == pytest.approx(rest)
+    assert "c" not in factor and factor["a"] * 4000**0.5 > 1
+
+
 def test_shares_copies_and_missing_sources(spark):
     docs = spark.createDataFrame([(i, "word " * (i % 40 + 5), "en", "abc"[i % 3] if i % 30 else "rare", "") for i in range(3000)] + [(5000, "x y", "en", None, ""), (5001, None, "en", "a", "")], DOC)
     targets = spark.createDataFrame([("a", 0.5, 4), ("b", 0.3, 1), ("rare", 0.1, 2), ("none", 0.1, 3), (None, 0.2, 2)], "source string, target_share double, max_repeats int")
