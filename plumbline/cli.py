@@ -164,9 +164,17 @@ def main(argv: list[str] | None = None, catalog: Catalog | None = None) -> int:
         for row in cat.list():
             print(json.dumps(row) if a.detailed else f"{row['name']} {row['status']}")
     elif a.command == "remove":
-        cat.remove(a.index_name, a.force, None if a.force else input("name of the index: "))
+        found = cat.places(a.index_name)
+        folder = None
+        if len(found) > 1 and not a.force:
+            print("\n".join(f"{i}. {f}" for i, f in enumerate(found, 1)))
+            folder = found[int(input("which one: ")) - 1]
+        cat.remove(a.index_name, a.force, None if a.force else input("name of the index: "), folder)
     elif a.command == "prune":
-        print("pruned" if cat.prune(a.index_name) else "nothing to prune")
+        if not a.yes and input("drop the stored vectors? [y/N] ").strip().lower() not in ("y", "yes"):
+            print("nothing done")
+        else:
+            print("pruned" if cat.prune(a.index_name) else "nothing to prune")
     return 0
 
 

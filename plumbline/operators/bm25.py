@@ -7,7 +7,8 @@ For one query no inverted index is needed: the length and the frequencies of the
 patterns in each row, and the only exchange is the one-row aggregate of N, the lengths and the document frequencies.
 ``materialize`` writes these few numbers per row to the checkpoint folder, so that a plan that uses the scores several
 times (hybrid search does) reads the texts once.
-For many queries the term table is joined on the term.
+For many queries, and for an index that is kept, the term table is used: ``TermIndex`` stores (term, key, tf) sorted
+by term in partitions by a hash of the term, the lengths, and their sums; a query reads the rows of its own terms.
 
 Defined cases: null texts are documents without tokens; an empty query scores 0 everywhere; an empty corpus has an
 average length of 1.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import tokens
@@ -109,3 +110,66 @@ def search_many(tf: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, k
     summed = rows.groupBy("query_id", key).agg(F.sum(part).alias("score"))
     ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)))
     return ranked.where(F.col("rank") <= k)
+
+
+class TermIndex:
+    """The persisted statistics of a corpus: terms (bucket, term, key, tf), lengths (key, dl), stats (n, total_tokens).
+
+    Keys must not repeat. ``stats`` has a row per write, which are added up.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, terms: DataFrame, lengths: DataFrame, stats: DataFrame, key: str):
+        self.terms, self.lengths, self.stats, self.key = terms, lengths, stats, key
+
+    @staticmethod
+    def bucket(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(TermIndex.BUCKETS)).cast("int")
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str, text: str = "text") -> TermIndex:
+        tf = term_frequencies(docs, key, text).withColumn("bucket", cls.bucket(F.col("term")))
+        lengths = document_lengths(docs, key, text)
+        return cls(tf, lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_tokens")), key)
+
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        """Range partitioning keeps the rows of a term together and splits frequent ones over several files."""
+        self.terms.repartitionByRange("bucket", "term", self.key).sortWithinPartitions("bucket", "term", self.key).write.mode(mode).partitionBy("bucket").parquet(f"{path}/terms")
+        self.lengths.write.mode(mode).parquet(f"{path}/lengths")
+        self.stats.write.mode(mode).parquet(f"{path}/stats")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, key: str) -> TermIndex:
+        return cls(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/stats"), key)
+
+    def scores(self, query: str, pool: DataFrame | None = None) -> DataFrame:
+        """(key, score) of the documents that have a term of the query, and one row (null, 0) if there are others.
+
+        With ``pool`` (rows with the key) the corpus is that of the pool. Nothing but the rows of the query's terms is
+        read, and with a pool the lengths.
+        """
+        key, wanted = self.key, Counter(query_tokens(query))
+        spark = self.terms.sparkSession
+        asked = spark.createDataFrame(list(wanted.items()), "term string, qtf int")  # as many rows as terms
+        buckets = sorted({r[0] for r in asked.select(self.bucket(F.col("term"))).collect()})
+        hits = self.terms.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(wanted))).select("term", key, "tf")
+        lengths, stats = self.lengths, self.stats
+        if pool is not None:
+            keys = pool.select(key)
+            hits, lengths = hits.join(keys, key, "left_semi"), lengths.join(keys, key, "left_semi")
+            stats = lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("total_tokens"))
+        hits = checkpointed(hits)  # used three times
+        total = stats.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), (F.sum("total_tokens") / F.sum("n")).alias("avgdl")))
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        rows = hits.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").join(lengths, key).withColumn("_s", total.scalar())
+        part = idf(F.col("_s.n"), F.col("df")) * weight(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("_s.avgdl")) * F.col("qtf")
+        found = rows.groupBy(key).agg(F.sum(part).alias("score"))
+        none = hits.agg(F.count_distinct(key).alias("_m")).withColumn("_s", total.scalar()).where("_m < _s.n")
+        return found.unionByName(none.select(F.lit(None).cast(dict(self.terms.dtypes)[key]).alias(key), F.lit(0.0).alias("score")))
+
+    def search(self, query: str, k: int, pool: DataFrame | None = None) -> DataFrame:
+        """(key, score, rank) of the k best documents, ties by key."""
+        order = [F.desc(F.round("score", 9)), self.key]
+        best = self.scores(query, pool).where("score > 0").orderBy(*order).limit(k)
+        return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -31,9 +31,10 @@ def expansion_terms(query: str, passages: DataFrame, n: int = 5, text: str = "te
     return [t for t in terms if t.lower() not in own][:n]
 
 
-def expand(query: str, docs: DataFrame, key: str, text: str = "text", passages: int = 5, n: int = 5) -> str:
+def expand(query: str, docs: DataFrame, key: str, text: str = "text", passages: int = 5, n: int = 5, terms: bm25.TermIndex | None = None) -> str:
     """The query with new terms of its BM25 top passages; longer queries and those without hits stay as they are."""
     if len(query.split()) > 3 or not re.search(r"\S", query):
         return query
-    best = [r[key] for r in bm25.search(docs, query, passages, key, text).select(key).collect()]  # a handful
+    found = terms.search(query, passages) if terms else bm25.search(docs, query, passages, key, text)
+    best = [r[key] for r in found.select(key).collect()]  # a handful
     return " ".join([query, *expansion_terms(query, docs.where(F.col(key).isin(best)), n, text)]) if best else query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.embed import post_json
 
-LEAD, ASK, CLOSE = "The following passages were retrieved for your question:\n\n", "\n\nQuestion: ", "\n\nAnswer from these passages and what you know."
+LEAD, ASK, CLOSE = "Excerpts retrieved for your question:\n\n", "\n\nQuestion: ", "\n\nAnswer from these excerpts and what you know."
 NOTHING_FOUND = "No relevant passages found."
 
 
@@ -34,7 +34,10 @@ def prompt_column(context_: str | Column, question: str | Column) -> Column:
 
 @dataclass
 class SimulatedModel:
-    """Canned answers for tests: one form for prompts that mention passages or a context, one for others."""
+    """Canned answers for tests: one form for prompts that mention passages or a context, one for others.
+
+    The frame of the prompt mentions neither, so the form depends on the retrieved text.
+    """
 
     model: str = "simulated"
 

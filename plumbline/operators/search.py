@@ -39,8 +39,12 @@ def wants_hybrid(options: SearchOptions) -> bool:
     return bool(text) and (options.hybrid or options.auto_hybrid and len(text.split()) <= 3)
 
 
-def search(passages: DataFrame, embeddings: DataFrame, query: Sequence[float], options: SearchOptions, key: str = "id", text: str = "text", binding: Typed | Json | None = None, index: vectors.InvertedFile | None = None) -> DataFrame:
-    """The columns of passages with score and rank. ``embeddings`` is (key, embedding); an ``index`` makes it approximate."""
+def search(passages: DataFrame, embeddings: DataFrame, query: Sequence[float], options: SearchOptions, key: str = "id", text: str = "text", binding: Typed | Json | None = None, index: vectors.InvertedFile | None = None, terms: bm25.TermIndex | None = None) -> DataFrame:
+    """The columns of passages with score and rank.
+
+    ``embeddings`` is (key, embedding); an ``index`` makes it approximate; with ``terms`` hybrid search reads the
+    persisted statistics instead of the texts.
+    """
     k = options.top_k
     fused = wants_hybrid(options)
     keep = None
@@ -54,7 +58,7 @@ def search(passages: DataFrame, embeddings: DataFrame, query: Sequence[float], o
     else:
         hits = vectors.top_k(embeddings.join(pool.select(key), key, "left_semi") if early else embeddings, query, fetch, key).select(key, "score")
     if fused:
-        scores = bm25.scores(pool, options.query_text, key, text, materialize=True)
+        scores = terms.scores(options.query_text, pool if early else None) if terms else bm25.scores(pool, options.query_text, key, text, materialize=True)
         best = scores.where("score > 0").orderBy(F.desc(F.round("score", 9)), key).limit(fetch)
         if options.fusion_input == "distance":
             hits = hits.withColumn("score", 1.0 - F.col("score"))

@@ -1,8 +1,8 @@
 """Exact and approximate nearest-neighbour search by dot product.
 
 Exact search of one query is a projection and a bounded top k (no exchange of the vectors). Many queries are
-answered in blocks: the query matrix is small by contract (``MAX_QUERIES`` rows are checked), is sent to the workers
-once, and every Arrow batch gives the k best rows of each query, so at most queries × k rows a batch are exchanged.
+answered in blocks of at most about ``QUERY_BYTES``: a block is sent to the workers once, and every Arrow batch gives
+the k best rows of each query (ties by key), so at most queries × k rows a batch are exchanged.
 The approximate index is an inverted file: centroids fitted on a bounded sample, every vector assigned to the
 nearest one, and a query reads only the partitions of its nearest centroids. How many these must be is measured on
 that sample against brute force when the centroids are fitted.
@@ -11,16 +11,18 @@ that sample against brute force when the centroids are fitted.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vector import dot, literal
 
-MAX_QUERIES = 10_000
+QUERY_BYTES = 64 << 20  # of the query vectors that are sent to the workers at once
 FIT_ROWS = 50_000
 PROBE_TRIALS, PROBE_RECALL = 200, 0.95
 PROBE_DEPTHS = (10, 100)  # numbers of results for which the lists to probe are measured
@@ -47,10 +49,13 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_k
 
     With ``index``, vectors are its lists, and each query is compared only with those of its nearest centroids.
     """
-    asked = queries.select(query_key, F.col("embedding").cast("array<double>").alias("q")).limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: split them into blocks")
-    asked = [r for r in asked if r["q"] is not None]
+    given = queries.where("embedding is not null").select(query_key, F.col("embedding").cast("array<double>").alias("q"))
+    size = given.agg(F.coalesce(F.sum(F.size("q")), F.lit(0)) * 8).first()[0]
+    blocks = -(-size // QUERY_BYTES)
+    if blocks > 1:
+        no = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [top_k_many(vectors, queries.where(no == i), k, key, query_key, vector, digits, index, complexity) for i in range(blocks)])
+    asked = given.collect()
     if not asked:
         return vectors.select(F.lit(None).cast("long").alias(query_key), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     names = np.array([r[query_key] for r in asked])
@@ -65,6 +70,8 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_k
             rows, x = _matrix(batch.column(1), q.shape[1])
             if not len(rows):
                 continue
+            rank_of = np.empty(len(rows), dtype=np.int64)
+            rank_of[np.asarray(pc.sort_indices(batch.column(0).take(pa.array(rows))))] = np.arange(len(rows))
             near = batch.column(2).to_numpy(zero_copy_only=False)[rows] if probed_ is not None else np.zeros(len(rows), dtype=np.int32)
             for c in np.unique(near):
                 own = np.flatnonzero(near == c)
@@ -73,9 +80,14 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_k
                     some = asking[lo : lo + 256]
                     s = np.round(q[some] @ x[own].T, digits)
                     m = min(k, len(own))
-                    # ties at the edge of the k best: all that equal the k-th are kept for the global ranking
                     edge = np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
                     who, which = np.nonzero(-s <= edge)
+                    if len(who) > m * len(some):  # of those that equal the k-th the smallest keys stay
+                        place = rank_of[own[which]]
+                        order = np.lexsort((place, -s[who, which], who))
+                        first = np.searchsorted(who[order], np.arange(len(some)))
+                        order = order[np.arange(len(order)) - first[who[order]] < m]
+                        who, which = who[order], which[order]
                     yield pa.RecordBatch.from_arrays([pa.array(every[some[who]]), batch.column(0).take(pa.array(rows[own[which]])), pa.array(s[who, which])], names=[query_key, key, "score"])
 
     read = [key, vector]
@@ -98,10 +110,15 @@ class InvertedFile:
         self.centroids, self.assigned, self.key, self.vector, self.needed = centroids, assigned, key, vector, needed or {}
 
     @classmethod
-    def build(cls, vectors: DataFrame, key: str, vector: str = "embedding", lists: int = 32, seed: int = 7) -> InvertedFile:
-        """Fits the centroids on at most FIT_ROWS rows (by a hash of the key); assigns every vector."""
+    def build(cls, vectors: DataFrame, key: str, vector: str = "embedding", lists: int | None = None, seed: int = 7) -> InvertedFile:
+        """Fits the centroids on at most FIT_ROWS rows (by a hash of the key); assigns every vector.
+
+        By default there are as many lists as the root of the number of vectors, but a centroid needs 20 rows of the
+        sample.
+        """
         usable = vectors.where(F.col(vector).isNotNull())
         rows = usable.count()
+        lists = lists or max(1, min(round(rows**0.5), min(rows, FIT_ROWS) // 20))
         share = min(1.0, 0.9 * FIT_ROWS / max(1, rows))
         picked = usable.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).select(vector).limit(FIT_ROWS).toArrow()
         column = picked.column(0).combine_chunks()
