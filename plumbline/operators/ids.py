@@ -5,28 +5,44 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.
 
     Where none is set a temporary one is used on a local master, and removed at the end; a cluster needs a shared one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, create: bool = True) -> str:
+    """A new folder, or only its path, beside the checkpoints, for tables that are written and read again."""
+    folder = f"{_checkpoint_dir(spark)}/tree-{uuid4().hex}"
+    if create:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    return folder
+
+
 def counted(df: DataFrame, name: str, start: int = 0) -> DataFrame:
     """Adds a BIGINT that counts the rows in the order of partitions and of rows in them.
 

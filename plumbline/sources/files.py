@@ -88,15 +88,16 @@ def list_files(spark: SparkSession, paths: Sequence[str], types: Sequence[str] |
     frames = []
     for root in paths:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(local_path("path").alias("path"), "length")
-        own = "" if root.startswith(("hdfs:", "s3", "gs:")) else os.path.abspath(root)
+        local = re.match(r"(?!file:)[A-Za-z][\w+.-]+:", root) is None
+        own = os.path.abspath(re.sub(r"^file:/*", "/", root)) if local else root.rstrip("/")
         keep = allowed("path", "length", types, excluded, max_kb if pruned else 1 << 40)
-        if not (own and os.path.isfile(own)):
+        if not (local and os.path.isfile(own)):
             inside = F.substring("path", len(own) + 1, 1 << 20)
             if pruned:
                 keep &= ~in_skipped_folder(inside)
             if not include_hidden:
                 keep &= ~is_hidden(inside)
-            if own:
+            if local:
                 keep &= ~ignored("path", ignore_rules(own))
         frames.append(found.where(keep))
     out = reduce(lambda a, b: a.unionByName(b), frames).distinct()
