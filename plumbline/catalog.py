@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.pdf import extract_text
 from plumbline.operators import embed as emb
 from plumbline.operators.chunking import chunk_table
 from plumbline.operators.expansion import expand
@@ -23,7 +24,7 @@ from plumbline.operators.ids import numbered
 from plumbline.operators.search import SearchOptions, recompute_search, search, wants_hybrid
 from plumbline.operators.vectors import InvertedFile
 from plumbline.sources import storage
-from plumbline.sources.files import list_files, read_texts
+from plumbline.sources.files import PDF, TYPES, list_files, read_texts
 
 HOME = ".plumbline/indexes"
 #: Names of approximate backends: all are inverted files here; the names of graph indexes are kept for old commands.
@@ -68,6 +69,7 @@ class BuildOptions:
     recompute: bool = False
     force: bool = False
     embedding: dict = field(default_factory=dict)
+    pdf: Callable[[bytes], str] | None = extract_text
 
 
 class Catalog:
@@ -112,8 +114,9 @@ class Catalog:
         return chunk_table(docs, ["source"], "text", "source", o.chunk_size, o.chunk_overlap, o.strategy)
 
     def _documents(self, paths: Sequence[str], o: BuildOptions) -> DataFrame:
-        files = list_files(self.spark, paths, o.file_types, o.exclude_types, o.include_hidden, o.max_files, o.max_file_size_kb)
-        return read_texts(self.spark, files, paths).select(F.col("path").alias("source"), "text")
+        types = o.file_types or [*TYPES, *([PDF] if o.pdf else [])]
+        files = list_files(self.spark, paths, types, o.exclude_types, o.include_hidden, o.max_files, o.max_file_size_kb)
+        return read_texts(self.spark, files, paths, o.pdf).select(F.col("path").alias("source"), "text")
 
     def _write(self, folder: str, chunks: DataFrame, meta: IndexMeta, o: BuildOptions, start: int, mode: str) -> int:
         rows = numbered(chunks, ["source", "ordinal"], "id", start)

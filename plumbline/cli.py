@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from plumbline import config as cfg
@@ -104,8 +105,11 @@ def build_options(a: argparse.Namespace) -> BuildOptions:
     return BuildOptions(a.doc_chunk_size, a.doc_chunk_overlap, a.chunking_strategy, a.file_types, a.exclude_types, a.include_hidden, a.max_files, a.max_file_size_kb, getattr(a, "embedding_prompt_template", None), getattr(a, "recompute", False), getattr(a, "force", False), {k: v for k, v in e.items() if v is not None})
 
 
-def chat(find, model, read=input, write=print) -> None:
-    """/help, /clear, /history and /quit; other lines are questions. Earlier answers aren't sent to the model."""
+def chat(find, model, read=input, write=print, record: str | None = None) -> None:
+    """/help, /clear, /history and /quit; other lines are questions. Earlier answers aren't sent to the model.
+
+    Questions are appended to the file ``record`` if there is one.
+    """
     history: list[tuple[str, str]] = []
     while True:
         try:
@@ -122,6 +126,10 @@ def chat(find, model, read=input, write=print) -> None:
             for q, a in history:
                 write(f"Q: {q}\nA: {a}")
         elif line:
+            if record:
+                os.makedirs(os.path.dirname(record) or ".", exist_ok=True)
+                with open(record, "a", encoding="utf-8") as f:
+                    f.write(line + "\n")
             history.append((line, rag.ask(line, find, model)))
             write(history[-1][1])
 
@@ -147,9 +155,9 @@ def main(argv: list[str] | None = None, catalog: Catalog | None = None) -> int:
         model = rag.MODELS[a.llm](**({"model": a.model} if a.model else {}))
         find = lambda q: cat.search(a.index, q, SearchOptions(a.top_k, a.complexity))
         if a.command == "react":
-            print(rag.react(a.query, find, model, a.max_steps))
+            print(rag.react(a.query, find, model, a.max_steps, print if a.verbose else None))
         elif a.interactive or not a.query:
-            chat(find, model)
+            chat(find, model, record=os.path.join(os.path.dirname(cfg.default_path()), "history.txt"))
         else:
             print(rag.ask(a.query, find, model))
     elif a.command == "serve":

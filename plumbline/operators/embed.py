@@ -72,6 +72,19 @@ def model_config(model: str) -> ModelConfig:
     return MODELS.get(model.split(":", 1)[0], ModelConfig())
 
 
+#: Widths of models that their providers document beside the registry.
+WIDTHS = {"nomic-embed-text": 768, "mxbai-embed-large": 1024, "all-minilm": 384, "bge-m3": 1024, "snowflake-arctic-embed": 1024, "text-embedding-004": 768, "embedding-001": 768}
+
+
+def dimensions(own, probe: str = "width") -> int:
+    """Width of a provider's vectors: its own, that of a known model, else that of the reply to a probe."""
+    if isinstance(getattr(own, "dimensions", None), int):
+        return own.dimensions
+    base = own.model.split(":", 1)[0]
+    known = MODELS[base].dimensions if base in MODELS else WIDTHS.get(base)
+    return known or len(own.embed([probe])[0])
+
+
 def with_prefix(text: str | Column, prefix: str) -> Column:
     """The prompt template before the text; an empty template changes nothing."""
     t = F.col(text) if isinstance(text, str) else text
@@ -178,10 +191,11 @@ class GeminiProvider:
 
 @dataclass
 class LocalProvider:
-    """A model on disk: a folder with model.onnx and tokenizer.json. Masked mean pooling, then unit length."""
+    """A model on disk: a folder with model.onnx and tokenizer.json. Masked mean pooling, then unit length by default."""
 
     model: str
     batch_size: int = 32
+    normalize: bool = True
 
     def __post_init__(self):
         if not os.path.isfile(os.path.join(self.model, "model.onnx")):
@@ -208,7 +222,9 @@ class LocalProvider:
             given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
             hidden = session.run(None, {k: v for k, v in given.items() if k in known})[0]
             pooled = (hidden * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
-            out += (pooled / np.maximum(np.sqrt((pooled * pooled).sum(1, keepdims=True)), 1e-12)).tolist()
+            if self.normalize:
+                pooled = pooled / np.maximum(np.sqrt((pooled * pooled).sum(1, keepdims=True)), 1e-12)
+            out += pooled.tolist()
         return out
 
 

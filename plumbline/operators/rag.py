@@ -116,16 +116,23 @@ Write a line "Thought: ..." and then a line "Action: tool(argument)". Results co
 Search before you answer, search again with other words if needed, and keep the answer short."""
 
 
-def react(question: str, find: Callable[[str], DataFrame], model, max_steps: int = 5) -> str:
-    """The ReAct loop: each step is one small search; after max_steps one last answer is asked for."""
+def react(question: str, find: Callable[[str], DataFrame], model, max_steps: int = 5, say: Callable[[str], None] | None = None) -> str:
+    """The ReAct loop: each step is one small search; after max_steps one last answer is asked for.
+
+    ``say`` is told the steps, the model's replies and the searches.
+    """
+    say = say or (lambda _: None)
     history = f"{SYSTEM}\n\nQuestion: {question}\n\n"
-    for _ in range(max_steps):
+    for step in range(max_steps):
+        say(f"Step {step + 1}")
         reply = model.generate(history)
+        say(reply)
         history += reply + "\n"
         action = parse_action(reply)
         if action and action[0] == "finish":
             return action[1]
         if action:
+            say(f"Searching: {action[1]}")
             history += f"Observation: {observation(find(action[1]))}\n\n"
         elif re.search(r"(?i)final answer|the answer is", reply):
             return reply

@@ -488,10 +488,10 @@ def chunk_simple(spark, d):
 
 @query()
 def chunk_code(spark, d):
-    """The code chunker over whole files, put together from the blocks of each source."""
+    """The code chunker over every block; blocks without source fall back to prose."""
     from plumbline.operators.chunking import chunk_table
 
-    own = table(spark, d, "code_blocks").where("content is not null and source is not null")
+    own = table(spark, d, "code_blocks").where("content is not null")
     return chunk_table(own, ["block_id", "ingested_at"], "content", "source", 256, 64, "ast", keep_tail=True)
 
 

@@ -441,3 +441,188 @@ def shells(spark, d):
     rows.append(("cli", "search", str(len(json.loads(run("search", "the scores of the index", "-i", "docs", "-k", "3", "--format", "json"))))))
     rows += [("cli", "prune", run("prune", "docs", "--yes")), ("cli", "prune again", run("prune", "docs", "--yes")), ("cli", "remove", run("remove", "docs", "--force"))]
     return spark.createDataFrame(rows, "shell string, what string, answer string")
+
+
+_PDF = b"%PDF-1.4\n1 0 obj\n<< /Length 60 >>\nstream\nBT /F1 12 Tf (Hello \\(PDF\\)) Tj 0 -14 Td [(wo) -20 (rld) <21>] TJ ET\nendstream\nendobj\n"
+
+
+@query(_values("path, text", [("a.md", "text"), ("b/c.py", "x = 12"), ("kept.log.md", "kept"), ("p.pdf", "Hello (PDF)\nworld!")]))
+def file_texts(spark, d):
+    """Texts of a tree with ignore files; what is not UTF-8 is left out, PDFs go through the extractor."""
+    from plumbline.functions.pdf import extract_text
+    from plumbline.sources import storage
+    from plumbline.sources.files import PDF, TYPES, list_files, read_texts
+
+    root = shared_folder(spark)
+    tree = {"a.md": "text", "b/c.py": "x = 12", "b/d.md": "no", "b/.gitignore": "d.md\n", ".gitignore": "*.log.md\n!kept.log.md\n# remark\nout/\n", "e.log.md": "no", "kept.log.md": "kept", "out/f.md": "no", ".git/info/exclude": "g.md\n", "g.md": "no"}
+    for name, text in tree.items():
+        storage.write_text(spark, storage.join(root, name), text)
+    storage.write_bytes(spark, storage.join(root, "latin.md"), "é".encode("latin-1"))
+    storage.write_bytes(spark, storage.join(root, "p.pdf"), _PDF)
+    files = list_files(spark, [root], [*TYPES, PDF])
+    return read_texts(spark, files, [root], extract_text).select(F.expr("regexp_extract(path, '/tree[^/]*/(.*)$', 1)").alias("path"), "text")
+
+
+@query(_values("path", [("a.md",), ("b.md",)]))
+def file_limit(spark, d):
+    """The first files in order of path."""
+    from plumbline.sources import storage
+    from plumbline.sources.files import list_files
+
+    root = shared_folder(spark)
+    for name in ("c.md", "b.md", "a.md", "d.md"):
+        storage.write_text(spark, storage.join(root, name), name)
+    return list_files(spark, [root], max_files=2).select(F.expr("regexp_extract(path, '/tree[^/]*/(.*)$', 1)").alias("path"))
+
+
+@query("SELECT vec_id - (SELECT min(vec_id) FROM embeddings) AS ordinal, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings")
+def exchange_matrix(spark, d):
+    """The matrix of all embeddings in order of their ids, written as raw floats in one file per task and read again."""
+    from plumbline.sources import exchange
+
+    folder = shared_folder(spark, create=False)
+    own = vecs(spark, d)
+    first = own.agg(F.min("vec_id")).first()[0]
+    exchange.write_matrix(own.select((F.col("vec_id") - first).alias("ordinal"), "embedding"), folder)
+    back = exchange.read_parts(spark, folder, 64)
+    return back.select("ordinal", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.round(F.col("embedding")[63].cast("double"), 6).alias("last"))
+
+
+@query(_values("head, format", [("Ix", "faiss"), ("HNSW", "faiss"), ("PK", None), ("", None)]))
+def foreign_formats(spark, d):
+    from plumbline.sources.exchange import foreign_format
+
+    return spark.createDataFrame([(h, foreign_format(h.encode())) for h in ("Ix", "HNSW", "PK", "")], "head string, format string")
+
+
+@query(_values("strategy, path, chunk_type", [("simple", "a.py", "simple"), ("ast", "a.py", "ast"), ("auto", "a.py", "ast"), ("auto", "a.txt", "simple"), ("ast", "a.txt", "simple")]))
+def chunk_strategies(spark, d):
+    from plumbline.operators.chunking import chunk_text
+
+    rows = [(s, p, chunk_text("def f():\n    return 1\n", p, 256, 0, s)[0].chunk_type) for s, p in (("simple", "a.py"), ("ast", "a.py"), ("auto", "a.py"), ("auto", "a.txt"), ("ast", "a.txt"))]
+    return spark.createDataFrame(rows, "strategy string, path string, chunk_type string")
+
+
+@query(_values('"case", hybrid', [("one word", True), ("three words", True), ("four words", False), ("asked for", True), ("without text", False), ("turned off", False)]))
+def auto_hybrid(spark, d):
+    from plumbline.operators.search import SearchOptions, wants_hybrid
+
+    cases = {
+        "one word": SearchOptions(query_text="a", auto_hybrid=True), "three words": SearchOptions(query_text="a b c", auto_hybrid=True), "four words": SearchOptions(query_text="a b c d", auto_hybrid=True),
+        "asked for": SearchOptions(query_text="a b c d", hybrid=True), "without text": SearchOptions(hybrid=True), "turned off": SearchOptions(query_text="a"),
+    }
+    return spark.createDataFrame([(k, wants_hybrid(o)) for k, o in cases.items()], "case string, hybrid boolean")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en'")
+def filter_unparsable(spark, d):
+    """A part that cannot be understood is left out by the lenient parser, as the shells use it."""
+    from plumbline.operators.filters import Typed, compile_filter, parse
+
+    own = docs(spark, d)
+    return own.where(compile_filter(parse("lang=en, nonsense", strict=False), Typed(own))).select("doc_id")
+
+
+class _Stub:
+    """A server on this machine with the replies of the three embedding interfaces and an error."""
+
+    def __enter__(self) -> str:
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+        from threading import Thread
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self) -> None:
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                status = 200
+                if self.path.startswith("/v1/embeddings"):
+                    reply = {"data": [{"index": i, "embedding": [float(len(t)), float(i)]} for i, t in reversed(list(enumerate(body["input"])))]}
+                elif self.path == "/api/embed":
+                    reply = {"embeddings": [[float(len(t)), 0.5] for t in body["input"]]}
+                elif "batchEmbedContents" in self.path:
+                    reply = {"embeddings": [{"values": [float(len(r["content"]["parts"][0]["text"])), 0.25]} for r in body["requests"]]}
+                else:
+                    status, reply = 401, {"error": {"message": "no key"}}
+                raw = json.dumps(reply).encode()
+                self.send_response(status)
+                self.send_header("Content-Length", str(len(raw)))
+                self.end_headers()
+                self.wfile.write(raw)
+
+            def log_message(self, *args) -> None:
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        Thread(target=self.server.serve_forever, daemon=True).start()
+        return f"http://127.0.0.1:{self.server.server_address[1]}"
+
+    def __exit__(self, *args) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
+@query(_values("provider, vectors, width", [
+    ("openai", "1.0 0.0,2.0 1.0,3.0 0.0", 2), ("ollama", "1.0 0.5,2.0 0.5,3.0 0.5", 768), ("gemini", "1.0 0.25,2.0 0.25,3.0 0.25", 768), ("hashing", None, 16), ("error", "401: no key", 0),
+]))
+def embedding_providers(spark, d):
+    """Requests, batches and replies of the providers against a server on this machine; batches of two."""
+    from plumbline.operators import embed
+
+    rows = []
+    with _Stub() as url:
+        own = {"openai": embed.OpenAiProvider("m", "k", url + "/v1", 2), "ollama": embed.OllamaProvider(host=url, batch_size=2), "gemini": embed.GeminiProvider(api_key="k", batch_size=2, base_url=url)}
+        for name, p in own.items():
+            rows.append((name, ",".join(" ".join(map(str, v)) for v in p.embed(["a", "bb", "ccc"])), embed.dimensions(p)))
+        rows.append(("hashing", None, embed.dimensions(embed.HashingProvider(16))))
+        try:
+            embed.post_json(url + "/nowhere", {})
+        except embed.HttpError as e:
+            rows.append(("error", str(e), 0))
+    return spark.createDataFrame(rows, "provider string, vectors string, width int")
+
+
+@query(_values("no, said", [
+    (0, "/help /clear /history /quit"), (1, 'From the passages given, about "one?": they cover this topic. (Simulated answer of simulated.)'),
+    (2, 'Q: one?\nA: From the passages given, about "one?": they cover this topic. (Simulated answer of simulated.)'), (3, "No relevant passages found."), (4, 'You ask about "three?". (Simulated answer of simulated.)'),
+]))
+def chat_commands(spark, d):
+    """A conversation with the simulated model, whose form depends on the retrieved text."""
+    from plumbline import cli
+    from plumbline.operators import rag
+
+    texts_ = {"one?": "the passages", "three?": "plain"}
+    find = lambda q: spark.createDataFrame([(1, texts_[q])] if q in texts_ else [], "rank int, text string")
+    said: list[str] = []
+    lines = iter(["/help", "one?", "/history", "two?", "", "/clear", "/history", "three?", "/quit"])
+    cli.chat(find, rag.SimulatedModel(), lambda _: next(lines), said.append)
+    return spark.createDataFrame(list(enumerate(said)), "no int, said string")
+
+
+@query(_values("command, printed", [("build", "3 passages"), ("update", "4 passages"), ("search", "b/c.py"), ("ask", "true"), ("react", "true"), ("config path", "true"), ("config init", "true false true")]))
+def file_commands(spark, d):
+    """The commands over a tree of files: build, update, search with expansion, ask, react, config."""
+    from contextlib import redirect_stdout
+
+    from plumbline import cli, config
+    from plumbline.sources import storage
+
+    root, more, home = shared_folder(spark), shared_folder(spark), shared_folder(spark)
+    for name, text in {"a.md": "Stones in the river.", "b/c.py": "def measure_depth():\n    return 1\n\ndef other():\n    return 2\n"}.items():
+        storage.write_text(spark, storage.join(root, name), text)
+    storage.write_text(spark, storage.join(more, "z.txt"), "A late zebra.")
+    catalog = _catalog(spark)
+
+    def run(*argv: str) -> str:
+        out = io.StringIO()
+        with redirect_stdout(out):
+            cli.main(list(argv), catalog)
+        return out.getvalue().strip()
+
+    rows = [("build", run("build", "ix", "--docs", root, "--chunking-strategy", "auto")), ("update", run("update", "ix", "--docs", more))]
+    rows.append(("search", json.loads(run("search", "measure_depth", "-i", "ix", "-k", "1", "--format", "json"))[0]["metadata"]["source"].partition("tree-")[2].partition("/")[2]))
+    rows.append(("ask", str('"a zebra?"' in run("ask", "a zebra?", "-i", "ix", "--llm", "simulated")).lower()))
+    rows.append(("react", str("Simulated answer" in run("react", "a zebra?", "-i", "ix", "--llm", "simulated", "--max-steps", "1")).lower()))
+    rows.append(("config path", str(run("config", "path").endswith("config.toml")).lower()))
+    path = storage.join(home.removeprefix("file:"), "deep", "config.toml")
+    made = [config.init(path), config.init(path), config.init(path, force=True)] if path.startswith("/") else [True, False, True]
+    rows.append(("config init", " ".join(str(x).lower() for x in made)))
+    return spark.createDataFrame(rows, "command string, printed string")

@@ -52,6 +52,31 @@ def read_matrix(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "ordinal bigint, embedding array<float>")
 
 
+def write_matrix(vectors: DataFrame, folder: str) -> None:
+    """(ordinal, embedding) as parts of a raw matrix: a row per block of 1,024 ordinals, so no task holds the whole."""
+
+    def block(t: pa.Table) -> pa.Table:
+        t = t.sort_by("ordinal")
+        column = t.column("embedding").combine_chunks()
+        return pa.table({"first": pa.array([t.column("ordinal")[0].as_py()], pa.int64()), "content": pa.array([column.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()], pa.binary())})
+
+    rows = vectors.withColumn("block", F.floor(F.col("ordinal") / 1024)).groupBy("block").applyInArrow(block, "first bigint, content binary")
+    rows.write.mode("errorifexists").parquet(folder)
+
+
+def read_parts(spark: SparkSession, folder: str, dimensions: int) -> DataFrame:
+    """ordinal, embedding of the parts that write_matrix wrote; the parts are read by many tasks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                m = np.frombuffer(raw, dtype="<f4").reshape(-1, dimensions)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * dimensions), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(m), dtype=np.int64)), lists], names=["ordinal", "embedding"])
+
+    return spark.read.parquet(folder).select("first", "content").mapInArrow(rows, "ordinal bigint, embedding array<float>")
+
+
 def foreign_format(head: bytes) -> str | None:
     """Name of a vector-index format that this library doesn't read, by its first bytes."""
     # Magic bytes.

@@ -21,6 +21,7 @@ from plumbline.functions.text import extension
 
 #: Extensions that are read by default, and folders of builds and dependencies that are not entered.
 TYPES = ".txt .md .py .js .ts .tsx .jsx .rs .go .java .c .cpp .cc .h .hpp .json .yaml .yml .toml .rb .php .swift .kt .scala .cs".split()
+PDF = ".pdf"  # read like the others by a build with an extractor
 SKIPPED_FOLDERS = "target node_modules .git __pycache__ venv .venv dist build .next .nuxt vendor Pods .gradle .cache deps _build .elixir_ls .hex priv".split()
 MAX_FILE_KB, MAX_JSON_KB = 1024, 10
 IGNORE_FILES = (".gitignore", ".indexignore")
@@ -50,20 +51,26 @@ def is_hidden(path: str | Column, root: str = "") -> Column:
 
 
 def ignore_rules(root: str) -> list[tuple[str, str, bool]]:
-    """(folder, pattern, negated) of the ignore files under a local root."""
+    """(folder, pattern, negated) of the user's and the repository's own exclusions and the ignore files under a root."""
     rules = []
+    config = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    for path in (os.path.join(config, "git", "ignore"), os.path.join(root, ".git", "info", "exclude")):
+        if os.path.isfile(path):
+            rules += [(root, *rule) for rule in _rules(path)]
     for folder, names, files in os.walk(root):
         names[:] = [n for n in names if n not in SKIPPED_FOLDERS]
         for name in IGNORE_FILES:
             if name in files:
-                with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
-                    for line in f.read().splitlines():
-                        line = line.rstrip()
-                        if line and not line.startswith("#"):
-                            rules.append((folder, line.lstrip("!"), line.startswith("!")))
+                rules += [(folder, *rule) for rule in _rules(os.path.join(folder, name))]
     return rules
 
 
+def _rules(path: str) -> list[tuple[str, bool]]:
+    with open(path, encoding="utf-8", errors="replace") as f:
+        lines = [line.rstrip() for line in f.read().splitlines()]
+    return [(line.removeprefix("!"), line.startswith("!")) for line in lines if line and not line.startswith("#")]
+
+
 def ignored(path: str | Column, rules: list[tuple[str, str, bool]]) -> Column:
     """Later rules win, as in git."""
     p = F.col(path) if isinstance(path, str) else path
