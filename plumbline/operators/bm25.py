@@ -160,7 +160,7 @@ class TermIndex:
             hits, lengths = hits.join(keys, key, "left_semi"), lengths.join(keys, key, "left_semi")
             stats = lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("total_tokens"))
         hits = checkpointed(hits)  # used three times
-        total = stats.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), (F.sum("total_tokens") / F.sum("n")).alias("avgdl")))
+        total = stats.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.try_divide(F.sum("total_tokens"), F.sum("n")), F.lit(1.0)).alias("avgdl")))
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
         rows = hits.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").join(lengths, key).withColumn("_s", total.scalar())
         part = idf(F.col("_s.n"), F.col("df")) * weight(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("_s.avgdl")) * F.col("qtf")

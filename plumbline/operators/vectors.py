@@ -49,13 +49,16 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_k
 
     With ``index``, vectors are its lists, and each query is compared only with those of its nearest centroids.
     """
-    given = queries.where("embedding is not null").select(query_key, F.col("embedding").cast("array<double>").alias("q"))
-    size = given.agg(F.coalesce(F.sum(F.size("q")), F.lit(0)) * 8).first()[0]
-    blocks = -(-size // QUERY_BYTES)
-    if blocks > 1:
-        no = F.pmod(F.xxhash64(query_key), F.lit(blocks))
-        return reduce(DataFrame.unionByName, [top_k_many(vectors, queries.where(no == i), k, key, query_key, vector, digits, index, complexity) for i in range(blocks)])
-    asked = given.collect()
+    given = queries.where("embedding is not null")
+    size = given.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()[0]
+    blocks = max(1, -(-size // QUERY_BYTES))
+    no = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_answer(vectors, given.where(no == i), k, key, query_key, vector, digits, index, complexity) for i in range(blocks)])
+
+
+def _answer(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str, digits: int, index: InvertedFile | None, complexity: int) -> DataFrame:
+    """The answers to one block of queries, which is brought to the driver and sent to the workers."""
+    asked = queries.select(query_key, F.col("embedding").cast("array<double>").alias("q")).collect()
     if not asked:
         return vectors.select(F.lit(None).cast("long").alias(query_key), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     names = np.array([r[query_key] for r in asked])

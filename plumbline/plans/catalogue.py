@@ -170,20 +170,25 @@ def vector_norms(spark, d):
 
 @query(
     """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, greatest(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 1e-12) AS norm FROM embeddings)
-SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / norm)), 6) AS total, round(v[1] / norm, 6) AS first FROM n"""
+SELECT vec_id, round(list_sum(list_transform(v, lambda x, i: i * x / norm)), 5) AS weighted, round(v[1] / norm, 6) AS first FROM n"""
 )
 def vector_normalize(spark, d):
     v = vecs(spark, d).select("vec_id", vx.normalized("embedding").alias("v"))
-    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.col("v")[0], 6).alias("first"))
+    return v.select("vec_id", F.round(_weighted("v"), 5).alias("weighted"), F.round(F.col("v")[0], 6).alias("first"))
+
+
+def _weighted(vector: str):
+    """A sum in which every element counts by its place."""
+    return F.aggregate(F.transform(vector, lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 @query(
-    """SELECT vec_id, round((embedding[1]::DOUBLE + CASE WHEN vec_id % 2 = 1 THEN embedding[64]::DOUBLE ELSE 0 END) / CASE WHEN vec_id % 2 = 1 THEN 2 ELSE 1 END, 6) AS first FROM embeddings"""
+    """SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: i * CASE WHEN vec_id % 2 = 1 THEN (x + embedding[65 - i]::DOUBLE) / 2 ELSE x END)), 5) AS weighted FROM embeddings"""
 )
 def mean_pooling(spark, d):
     tokens = F.array(F.col("embedding"), F.reverse("embedding"))
     mask = F.array(F.lit(1), (F.col("vec_id") % 2).cast("int"))
-    return vecs(spark, d).select("vec_id", F.round(vx.mean_pooled(tokens, mask, 64)[0], 6).alias("first"))
+    return vecs(spark, d).select("vec_id", vx.mean_pooled(tokens, mask, 64).alias("v")).select("vec_id", F.round(_weighted("v"), 5).alias("weighted"))
 
 
 @query()
@@ -513,9 +518,9 @@ _EXT = "regexp_extract(m->>'source', '[^/](\\.[^./]+)$', 1)"
 @query(f"SELECT {_EXT} AS ext, count(*) AS chunks, count(DISTINCT m->>'source') AS files, (count(*) // count(DISTINCT m->>'source'))::BIGINT AS per_file FROM ({_META}) WHERE m->>'source' IS NOT NULL GROUP BY 1 ORDER BY chunks DESC, ext LIMIT 10")
 def build_stats(spark, d):
     """Chunks and files of the ten commonest extensions."""
-    own = table(spark, d, "chunks").select(F.get_json_object("metadata", "$.source").alias("source")).where("source is not null")
-    stats = own.groupBy(tx.extension("source").alias("ext")).agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("files"))
-    return stats.withColumn("per_file", F.expr("chunks div files")).orderBy(F.desc("chunks"), "ext").limit(10)
+    from plumbline.sources.files import extension_stats
+
+    return extension_stats(table(spark, d, "chunks").select(F.get_json_object("metadata", "$.source").alias("source")), "source")
 
 
 def _language_sql() -> str:
@@ -569,12 +574,7 @@ FROM vectors v JOIN index_meta m USING (index_name)"""
 def vector_checks(spark, d):
     """The checks of the embedding writer on every row: width, finite elements, not all zero."""
     rows = table(spark, d, "vectors").join(table(spark, d, "index_meta").select("index_name", "dimensions"), "index_name")
-    broken = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.select(
-        "vec_id", "ingested_at", F.coalesce(F.when(F.col("embedding").isNotNull(), F.size("embedding")), F.lit(-1)).cast("long").alias("width"),
-        F.coalesce(F.col("embedding").isNotNull() & (F.size("embedding") == F.col("dimensions")), F.lit(False)).alias("fits"),
-        F.coalesce(broken, F.lit(False)).alias("broken"), F.coalesce(~F.exists("embedding", lambda x: x != 0), F.lit(False)).alias("zero"),
-    )
+    return rows.select("vec_id", "ingested_at", vx.checks("embedding", "dimensions").alias("c")).select("vec_id", "ingested_at", "c.*")
 
 
 # output ---------------------------------------------------------------------------------------------------------
@@ -599,10 +599,14 @@ def rag_context(spark, d):
     return _ranked(docs(spark, d)).groupBy("source").agg(F.md5(rag.context_column("rank", "text")).alias("context"))
 
 
-@query(f"SELECT source, length(string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank)) + length(source) + {len(rag.LEAD + rag.ASK + rag.CLOSE)} AS chars FROM ({_RANKED}) WHERE source IS NOT NULL GROUP BY 1")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"SELECT source, md5({_quoted(rag.LEAD)} || string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) || {_quoted(rag.ASK)} || source || {_quoted(rag.CLOSE)}) AS prompt FROM ({_RANKED}) WHERE source IS NOT NULL GROUP BY 1")
 def rag_prompt(spark, d):
     rows = _ranked(docs(spark, d)).where("source is not null").groupBy("source").agg(rag.context_column("rank", "text").alias("context"))
-    return rows.select("source", F.length(rag.prompt_column("context", F.col("source"))).cast("long").alias("chars"))
+    return rows.select("source", F.md5(rag.prompt_column("context", F.col("source"))).alias("prompt"))
 
 
 @query(f"WITH {_bm25_sql()} SELECT bm.doc_id, 'passage: ' || left(text, 40) AS prefixed, printf('%.4f', round(score, 4)) AS shown FROM bm JOIN documents USING (doc_id) WHERE score > 0 ORDER BY round(score, 9) DESC, bm.doc_id LIMIT 10")

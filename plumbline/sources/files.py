@@ -126,3 +126,10 @@ def read_texts(spark: SparkSession, files: DataFrame, paths: Sequence[str], pdf:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([texts[i] for i in at], pa.string())], names=["path", "text"])
 
     return plain.unionByName(rows.where(F.lower("path").endswith(".pdf")).select("path", "content").mapInArrow(extract, "path string, text string"))
+
+
+def extension_stats(chunks: DataFrame, source: str, n: int = 10) -> DataFrame:
+    """ext, chunks, files, per_file (whole) of the n commonest extensions, as a build reports them."""
+    own = chunks.where(F.col(source).isNotNull())
+    stats = own.groupBy(extension(source).alias("ext")).agg(F.count("*").alias("chunks"), F.countDistinct(source).alias("files"))
+    return stats.withColumn("per_file", F.expr("chunks div files")).orderBy(F.desc("chunks"), "ext").limit(n)
