@@ -10,7 +10,7 @@ import re
 import zlib
 
 STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-SHOWN = re.compile(rb"(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[^\]()<>])*\])\s*(?:Tj|TJ|'|\")|\b(?:Td|TD|T\*|ET)\b")
+SHOWN = re.compile(rb"(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[^\]()<>])*\])\s*(?:Tj|TJ|'|\")|\b(?:Td|TD|ET)\b|T\*")
 STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>")
 ESCAPE = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
 #: Escapes of literal strings.
