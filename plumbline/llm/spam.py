@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from hashlib import blake2b
 from typing import NamedTuple
 
@@ -63,6 +64,7 @@ SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][. ]){2,}[^\W\d_](?![^\W_])")
 LINK = re.compile(r"</?a\b[^>\n]*+>?|(?:https?|ftp)://\S+|www\.\S+|\[/?url\b[^\]\n]*+\]?|(?<![\w.-])[\w-]++(?:\.[\w-]++)++/\S*")
 STRETCH = re.compile(r"\n+|(?<=[.!?…])[^\S\n]+")
 SIGN = re.compile(r"[={}<>\\]|\w_\w|[a-z][A-Z]|\(\)|::|->|\)\.|^[\w.-]+(?:,[\w.-]*){2,}$|^`.*`$")
+ANY_SIGN = re.compile(r"[={}<>\\_`(),]|[a-z][A-Z]|::|->")  # one of these is in every sign
 LOG = re.compile(r"^\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 ROW = re.compile(r"^\s*\|.*\|\s*$")
 REMARK = re.compile(r"\s#\s.*")
@@ -83,6 +85,8 @@ def _structured(bare: str) -> bool:
     """Whether a stretch looks like code, settings, a log line or a row of a table. Separators of lists don't count."""
     if LOG.match(bare) or ROW.match(bare) or CODE_LINE.search(bare):
         return True
+    if not ANY_SIGN.search(bare):
+        return False
     tokens = [t for t in REMARK.sub("", bare).split() if t[0] != "#"]
     signs = counted = 0
     for t in tokens:
@@ -92,12 +96,12 @@ def _structured(bare: str) -> bool:
     return signs > SIGNS * counted
 
 
-def _sentence(own: list[str], pairs: Counter, least: int = 1) -> bool:
+def _sentence(own: list[str], counted: Callable[[], Counter], least: int = 1) -> bool:
     """Whether function words hold the words together.
 
     There must be enough of them, and of several kinds: a run of keywords that contain some ("base de datos")
-    repeats the same few. With fewer than three kinds those inside repeated pairs don't count. ``least``:
-    kinds that are needed (more for a stretch that is mostly links).
+    repeats the same few. With fewer than three kinds those inside repeated pairs (of ``counted``) don't count.
+    ``least``: kinds that are needed (more for a stretch that is mostly links).
     """
     at = [i for i, w in enumerate(own) if w in FUNCTION_WORDS]
     if not at or len(at) < SENTENCE * len(own):
@@ -107,6 +111,7 @@ def _sentence(own: list[str], pairs: Counter, least: int = 1) -> bool:
         return False
     if kinds >= 3:
         return len(at) <= 5 * kinds
+    pairs = counted()
     free = [i for i in at if (not i or pairs[own[i - 1], own[i]] < REPEATED) and (i + 1 == len(own) or pairs[own[i], own[i + 1]] < REPEATED)]
     return len(free) >= 0.5 * len(at)
 
@@ -122,17 +127,31 @@ class Page(NamedTuple):
 
 def page(text: str) -> Page:
     parts = []
-    pairs: Counter[tuple[str, str]] = Counter()
     spaced = SPACED.search(text) is not None
     for stretch in STRETCH.split(text):
-        n = len(RUN.findall(stretch))
-        if not n:
+        runs = shown = RUN.findall(stretch)
+        if not runs:
             continue
-        bare = LINK.sub(" ", stretch) if "/" in stretch or "<" in stretch or "[" in stretch or "www." in stretch else stretch
-        own = words(bare) if spaced else WORD.findall(bare.lower())
-        parts.append((bare, n, n - len(RUN.findall(bare)) if bare != stretch else 0, own))
-        pairs.update(zip(own, own[1:]))
-    excused = [_sentence(own, pairs, 3 if linked > len(own) else 1) or _structured(bare) for bare, _, linked, own in parts]
+        bare = stretch
+        if "/" in stretch or "<" in stretch or "[" in stretch or "www." in stretch:
+            bare = LINK.sub(" ", stretch)
+            if bare != stretch:
+                shown = RUN.findall(bare)
+        if spaced:
+            own = words(bare)
+        else:
+            joined = " ".join(shown).lower()
+            own = joined.split() if joined.replace(" ", "").isalpha() else WORD.findall(joined)
+        parts.append((bare, len(runs), len(runs) - len(shown), own))
+
+    @cache
+    def counted() -> Counter:
+        pairs: Counter[tuple[str, str]] = Counter()
+        for p in parts:
+            pairs.update(zip(p[3], p[3][1:]))
+        return pairs
+
+    excused = [_sentence(own, counted, 3 if linked > len(own) else 1) or _structured(bare) for bare, _, linked, own in parts]
     return Page([w for p in parts for w in p[3]], [len(p[3]) for p in parts], [p[1] for p in parts], excused)
 
 
