@@ -9,7 +9,7 @@
    private keys and mixed values given to a name that ends in a word for secrets are positive; placeholders,
    references, checksums, ids, plain addresses, prose and words are negative.
    Other candidates have no label and take no part in the fit. The sample it is fitted on has at most
-   ``SAMPLE_ITEMS`` items; the Markov chain, the candidates and the scores cover all texts.
+   ``SAMPLE_ITEMS`` items, and of their plain words one in ``PLAIN_ONE_IN``; the Markov chain, the candidates and the scores cover all texts.
 4. The scores are calibrated on held-out weak labels (Platt scaling); candidates at or above ``LEAST_SCORE`` are
    credentials. Masking replaces the characters of the value by asterisks and leaves quotes, line breaks and
    lengths as they are.
@@ -27,6 +27,7 @@ import binascii
 import json
 import math
 import re
+import zlib
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ITEMS = 30_000
 LEAST_SCORE = 0.5
+PLAIN_ONE_IN = 8  # of the literals that are labelled as plain words or plain names, this share is in the sample (by a hash)
 LEAST_CELL = 20  # patterns with fewer rows weigh less
 LEAST_LENGTH = 4
 
@@ -96,6 +98,8 @@ URL = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://")
 
 #: Words that values consist of which are names about secrets.
 META_WORDS = SECRET_WORDS | {"api", "key", "field", "smtp", "root", "db", "client"}
+#: Patterns of weak_label that most literals of a corpus have.
+PLAIN = (7, 10)
 #: Kinds of places that hold nothing but credentials.
 PLACES = ("private", "userinfo", "basic", "scheme", "command")
 
@@ -370,7 +374,7 @@ def learn(items: DataFrame) -> Model:
             ys, xs = [], []
             for text, meta in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for c in candidates(text) if text else []:
-                    if (y := weak_label(c)) is not None:
+                    if (y := weak_label(c)) is not None and (y[1] not in PLAIN or zlib.crc32(c.value.encode("utf-8", "replace")) % PLAIN_ONE_IN == 0):
                         ys.append(y)
                         xs.append(features(c, _source(meta), chain))
             yield pa.RecordBatch.from_arrays([*(pa.array([y[k] for y in ys], pa.int32()) for k in range(2)), pa.array(xs, pa.list_(pa.float64()))], names=["y", "pattern", "x"])
