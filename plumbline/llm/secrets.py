@@ -44,6 +44,7 @@ LEAST_SCORE = 0.5
 PLAIN_ONE_IN = 8  # of the literals that are labelled as plain words or plain names, this share is in the sample (by a hash)
 LEAST_CELL = 20  # patterns with fewer rows weigh less
 LEAST_LENGTH = 4
+TEXTS = 500  # that are scored together
 
 #: Words of names that hold secrets, of names that hold none, and of names about secrets.
 SECRET_WORDS = frozenset(
@@ -100,6 +101,9 @@ URL = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://")
 META_WORDS = SECRET_WORDS | {"api", "key", "field", "smtp", "root", "db", "client"}
 #: Patterns of weak_label that most literals of a corpus have.
 PLAIN = (7, 10)
+#: Classes of bytes: 1 digits, 2 capitals, 3 small letters, 0 others.
+CLASS_OF = np.zeros(256, dtype=np.int8)
+CLASS_OF[48:58], CLASS_OF[65:91], CLASS_OF[97:123] = 1, 2, 3
 #: Kinds of places that hold nothing but credentials.
 PLACES = ("private", "userinfo", "basic", "scheme", "command")
 
@@ -247,27 +251,52 @@ def weak_label(c: Candidate) -> tuple[int, int] | None:
     return None
 
 
+def _letters(values: list[str], chain: np.ndarray) -> np.ndarray:
+    """Per value: mean log likelihood and entropy of its bytes, shares of digits, capitals and small letters (ASCII)."""
+    raw = [v.encode("utf-8", "replace") or b"\0" for v in values]
+    sizes = np.array([len(r) for r in raw], dtype=np.int64)
+    all_ = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    of = np.repeat(np.arange(len(raw)), sizes)
+    step = chain[all_[:-1], all_[1:]] * (of[1:] == of[:-1])
+    likely = np.where(sizes > 1, np.bincount(of[:-1], step, len(raw)) / np.maximum(sizes - 1, 1), -3.0)
+    cells, counts = np.unique(of * 256 + all_, return_counts=True)
+    own = cells >> 8
+    share = counts / sizes[own]
+    entropy = np.bincount(own, -share * np.log2(share), len(raw))
+    kind = CLASS_OF[all_]
+    return np.stack([likely, entropy, *(np.bincount(of, kind == k, len(raw)) / sizes for k in (1, 2, 3))], axis=1)
+
+
+def features_of(found: list[Candidate], sources: list[str], chain: np.ndarray) -> np.ndarray:
+    """A row of numbers for each candidate; which format a value has is not among them."""
+    letters = _letters([c.value for c in found], chain)
+    rows = []
+    for c, source, (likely, entropy, digits, upper, lower) in zip(found, sources, letters.tolist()):
+        v = c.value
+        n = max(1, len(v))
+        head, any_, plain = name_kind(c.name)
+        settings, tests, docs = path_kind(source)
+        bare = c.kind == "bare"
+        rows.append((
+            1.0, likely, entropy, math.log(n), digits, upper, lower, 1.0 - digits - upper - lower,
+            likely < -3.6, entropy > 3.5 and n >= 16, n < 8, min(v.count(" "), 5),
+            HEX.match(v) is not None, UUID.match(v) is not None, v.isalpha(), digits > 0 and upper + lower > 0,
+            head, any_ and not head, plain, not any_ and not plain,
+            REFERENCE.search(v) is not None, MASKED.search(v) is not None, HOLDER.search(v) is not None, _about_secrets(v), _address(v), n > 200,
+            c.kind in PLACES, bare, bare and not settings, settings, tests, docs,
+        ))
+    return np.array(rows, dtype=float)
+
+
 def features(c: Candidate, source: str, chain: np.ndarray) -> list[float]:
-    """The numbers a candidate is judged by; which format a value has is not among them."""
-    v = c.value
-    raw = np.frombuffer(v.encode("utf-8", "replace"), dtype=np.uint8)
-    likely = float(chain[raw[:-1], raw[1:]].mean()) if len(raw) > 1 else -3.0
-    n = max(1, len(v))
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(v).values())
-    digits = sum(map(str.isdigit, v)) / n
-    upper = sum(map(str.isupper, v)) / n
-    lower = sum(map(str.islower, v)) / n
-    head, any_, plain = name_kind(c.name)
+    return features_of([c], [source], chain)[0].tolist()
+
+
+@lru_cache(1 << 14)
+def path_kind(source: str) -> tuple[bool, bool, bool]:
+    """(settings, tests, documentation)"""
     path = source.lower()
-    return [
-        1.0, likely, entropy, math.log(n), digits, upper, lower, 1.0 - digits - upper - lower,
-        float(likely < -3.6), float(entropy > 3.5 and n >= 16), float(n < 8), min(v.count(" "), 5.0),
-        float(bool(HEX.match(v))), float(bool(UUID.match(v))), float(v.isalpha()), float(digits > 0 and upper + lower > 0),
-        float(head), float(any_ and not head), float(plain), float(not any_ and not plain),
-        float(bool(REFERENCE.search(v))), float(bool(MASKED.search(v))), float(bool(HOLDER.search(v))), float(_about_secrets(v)), float(_address(v)), float(n > 200),
-        float(c.kind in PLACES), float(c.kind == "bare"), float(c.kind == "bare" and not SETTINGS.search(path)),
-        float(bool(SETTINGS.search(path))), float("/test" in path or "fixture" in path), float(path.endswith((".md", ".rst", ".txt")) or "/docs/" in path),
-    ]
+    return SETTINGS.search(path) is not None, "/test" in path or "fixture" in path, path.endswith((".md", ".rst", ".txt")) or "/docs/" in path
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, rounds: int = 40) -> np.ndarray:
@@ -294,8 +323,9 @@ class Model(NamedTuple):
     scale: float
     shift: float
 
-    def scores(self, found: list[Candidate], source: str) -> np.ndarray:
-        x = np.array([features(c, source, self.chain) for c in found])
+    def scores(self, found: list[Candidate], source: str | list[str]) -> np.ndarray:
+        """``source``: that of all candidates, or one for each."""
+        x = features_of(found, [source] * len(found) if isinstance(source, str) else source, self.chain)
         z = ((x - self.mean) / self.spread) @ self.beta
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
 
@@ -371,13 +401,18 @@ def learn(items: DataFrame) -> Model:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys, xs = [], []
-            for text, meta in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for c in candidates(text) if text else []:
-                    if (y := weak_label(c)) is not None and (y[1] not in PLAIN or zlib.crc32(c.value.encode("utf-8", "replace")) % PLAIN_ONE_IN == 0):
-                        ys.append(y)
-                        xs.append(features(c, _source(meta), chain))
-            yield pa.RecordBatch.from_arrays([*(pa.array([y[k] for y in ys], pa.int32()) for k in range(2)), pa.array(xs, pa.list_(pa.float64()))], names=["y", "pattern", "x"])
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                ys, found, sources = [], [], []
+                for text, meta in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for c in candidates(text) if text else []:
+                        if (y := weak_label(c)) is not None and (y[1] not in PLAIN or zlib.crc32(c.value.encode("utf-8", "replace")) % PLAIN_ONE_IN == 0):
+                            ys.append(y)
+                            found.append(c)
+                            sources.append(_source(meta))
+                if found:
+                    xs = pa.array(features_of(found, sources, chain).tolist(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array([y[k] for y in ys], pa.int32()) for k in range(2)), xs], names=["y", "pattern", "x"])
 
     table = picked.select("text", "meta").mapInArrow(label, "y int, pattern int, x array<double>").toArrow()
     rows = sorted(zip(*(table.column(k).to_pylist() for k in ("y", "pattern", "x"))))
@@ -409,21 +444,29 @@ def _scan(items: DataFrame, model: Model, least: float, masked: bool) -> DataFra
     schema = keys + ("masked int, text string" if masked else "line_no int, start int, length int, place string, score double")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, TEXTS) for b in batches for lo in range(0, b.num_rows, TEXTS)):
+            texts = batch.column(3).to_pylist()
+            found, of, sources = [], [], []
+            for i, (text, meta) in enumerate(zip(texts, batch.column(4).to_pylist())):
+                own = candidates(text) if text else []
+                if own:
+                    found += own
+                    of += [i] * len(own)
+                    sources += [_source(meta)] * len(own)
+            kept: dict[int, list[tuple[Candidate, float]]] = {}
+            for c, i, score in zip(found, of, shared.value.scores(found, sources).tolist() if found else []):
+                if score >= least:
+                    kept.setdefault(i, []).append((c, score))
             at, rows = [], []
-            for i, (text, meta) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                found = candidates(text) if text else []
-                if not found:
-                    continue
-                scores = shared.value.scores(found, _source(meta))
-                kept = [(c, s) for c, s in zip(found, scores) if s >= least]
-                if masked and kept:
+            for i, own in kept.items():
+                text = texts[i]
+                if masked:
                     at.append(i)
-                    rows.append((len(kept), mask(text, [(PRIVATE.match(text, c.start).end() if c.kind == "private" else c.start, c.end) for c, _ in kept])))
-                elif not masked:
-                    for c, s in kept:
+                    rows.append((len(own), mask(text, [(PRIVATE.match(text, c.start).end() if c.kind == "private" else c.start, c.end) for c, _ in own])))
+                else:
+                    for c, score in own:
                         at.append(i)
-                        rows.append((text.count("\n", 0, c.start) + 1, c.start, c.end - c.start, c.kind, float(s)))
+                        rows.append((text.count("\n", 0, c.start) + 1, c.start, c.end - c.start, c.kind, score))
             keys_ = batch.select(["item_kind", "item_id", "ingested_at"]).take(pa.array(at, pa.int64()))
             names = ["masked", "text"] if masked else ["line_no", "start", "length", "place", "score"]
             types = [pa.int32(), pa.string()] if masked else [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
